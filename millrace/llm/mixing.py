@@ -201,3 +201,17 @@ def mix(
         "_xx",
         (F.col("_whole") + F.coalesce("one", F.lit(0))).alias("copies"),
     )
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: each as often as it has copies, with all columns."""
+    taken = (
+        mix(docs, id_col, text_col, source_col, **options)
+        .where("copies > 0")
+        .select(F.col("doc_id").alias("_i"), F.col("_xx").alias("_h"), F.col("source").alias("_s"), "copies")
+        .distinct()
+    )
+    match = docs[id_col].eqNullSafe(taken["_i"]) & (F.xxhash64(docs[text_col]) == taken["_h"])
+    joined = docs.join(taken, match & docs[source_col].eqNullSafe(taken["_s"]))
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return joined.withColumn("_copy", copies).select(*docs.columns)

@@ -345,3 +345,10 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their group, with all columns."""
+    groups = similarity_groups(docs, id_col, text_col, width)
+    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(dropped, docs[id_col] == dropped["_id"], "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.text import words
+from millrace.storage import staged
 
 WINDOW = 8
 #: Characters that count as symbols.
@@ -101,10 +102,14 @@ def document_metrics(docs: DataFrame, text_col: str = "text", rules: Rules = Rul
         .withColumn("_n_lines", F.size("_lines").cast("long"))
     )
     df = _repeat_words(df)
+    # The last term is always false. It keeps filters on this column above the projections:
+    # pushed below, each would copy their nested expressions once per mention.
+    never = F.monotonically_increasing_id() < 0
     df = df.withColumn(
         "base_failed",
         (F.col("n_words") < rules.min_words)
-        | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words")),
+        | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words"))
+        | never,
     )
     return df.drop("_w", "_lines", "_h1", "_h2", "_h4", "_h8", "_twice", "_s", "_c", "_t", "_p")
 
@@ -155,3 +160,15 @@ def quality_rules(metrics: DataFrame, host_col: str = "source", rules: Rules = R
     bad = host_verdicts(metrics, host_col, rules).where(~F.col("host_ok")).select("_host", F.lit(True).alias("_bad"))
     joined = metrics.join(bad, metrics[host_col].eqNullSafe(bad["_host"]), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull()).drop("_host", "_bad")
+
+
+def passing(docs: DataFrame, host_col: str = "source", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns.
+
+    Two passes over the texts, one for the hosts and one for the rows, which
+    costs less than shuffling the texts to a table of verdicts.
+    """
+    hosts = host_verdicts(document_metrics(docs, text_col, rules), host_col, rules)
+    bad = staged(hosts.where(~F.col("host_ok")).select("_host"), "rules-hosts")
+    fine = document_metrics(docs, text_col, rules).where(~F.col("base_failed")).select(*docs.columns)
+    return fine.join(bad, fine[host_col].eqNullSafe(bad["_host"]), "left_anti")
