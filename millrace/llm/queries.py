@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, mixing, ngram_join, packing, quality_rules, sharding
+from millrace.llm import exact_dedup, mixing, ngram_join, packing, quality_ranking, quality_rules, sharding, toxicity
 from millrace.llm.text import table
 from millrace.storage import staged
 
@@ -30,6 +30,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.factorization_machine(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_groups(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digest)
 
 
+def op7_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ranking.bradley_terry(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -65,7 +73,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op5_ngram_join, op6_packing, op8_exact_dedup, op9_mixing, op10_quality_rules)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_sharding,
+            op2_toxicity,
+            op5_ngram_join,
+            op6_packing,
+            op7_quality_ranking,
+            op8_exact_dedup,
+            op9_mixing,
+            op10_quality_rules,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -46,12 +46,17 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - (offsets[0] if n else 0)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (A-Z lower-cased), and where each text's words begin (n + 1 places)."""
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word (A-Z lower-cased), and where each text's words begin (n + 1 places).
+
+    ``between`` marks the bytes that separate words.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     word = np.zeros(len(data) + 2, dtype=bool)
-    word[1:-1] = ~_IS_SPACE[data]
+    word[1:-1] = ~between[data]
     fresh = np.zeros(len(data) + 1, dtype=bool)
     fresh[offsets] = True
     starts = np.flatnonzero(word[1:] & (~word[:-1] | fresh))
