@@ -22,6 +22,8 @@ NUM, DEN = 3, 4
 GROUPS = 256
 #: Keys a map task gathers before it sends them; nodes of a block beyond which it is split by size.
 FLUSH, WIDE = 2_000_000, 4096
+#: Nodes of a block up to which its pairs are listed without a tree.
+SMALL = 16
 
 _ROWS = "bucket int, doc_id long, n int, node binary, counts binary, nodes binary, keys binary, at binary"
 _ARROW = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -160,6 +162,38 @@ def _vectors(col: pa.Array) -> np.ndarray:
     return np.array(wide, dtype=np.uint16).reshape(len(wide), GROUPS)
 
 
+def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of small blocks, sorted by (key, n), to pairs of different components with similar sizes."""
+    held: pa.RecordBatch | None = None
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, n = np.asarray(t.column("key")), np.asarray(t.column("n")).astype(np.int64)
+        node, root = (np.array(t.column(c).to_pylist(), dtype=object) for c in ("node", "root"))
+        for d in range(1, SMALL):
+            if d >= len(key):
+                return
+            i = np.flatnonzero((key[:-d] == key[d:]) & (DEN * n[:-d] >= NUM * n[d:]))
+            i = i[root[i] != root[i + d]]
+            if len(i):
+                a, b = node[i], node[i + d]
+                less = a < b
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.where(less, a, b), pa.binary()), pa.array(np.where(less, b, a), pa.binary())], names=["u", "v"]
+                )
+
+    for b in batches:
+        if not len(b):
+            continue
+        t = pa.Table.from_batches([held, b] if held is not None else [b])
+        key = np.asarray(t.column("key"))
+        others = np.flatnonzero(key != key[-1])
+        last = int(others[-1]) + 1 if len(others) else 0
+        yield from pairs(t.slice(0, last))
+        held = t.slice(last).combine_chunks().to_batches()[0]
+    if held is not None:
+        yield from pairs(pa.Table.from_batches([held]))
+
+
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, band) to the pairs of nodes that a tree over each block cannot rule out."""
 
@@ -243,9 +277,14 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Those distinct pairs of nodes whose sets are similar enough.
 
-    Only the texts of nodes in a pair are read into sets again, one text a node.
+    The bound on counts comes first. Only the texts of nodes in a pair are read into sets again, one text a node.
     """
-    pairs = staged(pairs.distinct(), "join-pairs")
+    side = nodes.select("node", "n", "counts")
+    ends = staged(pairs.distinct(), "join-candidates")
+    for e in ("u", "v"):
+        ends = ends.join(side.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("counts").alias(f"c_{e}")), e)
+    bounded = ends.select("u", "v", "n_u", "n_v", "c_u", "c_v").mapInArrow(_bounded, "u binary, v binary")
+    pairs = staged(bounded, "join-pairs")
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("_rep")).distinct()
     texts = docs.join(ids, docs[id_col].eqNullSafe(ids["_rep"]), "left_semi").select(text_col)
@@ -268,11 +307,12 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Steps: (1) one pass over the texts gives each set's size and count vector
     and sends its prefix (the first quarter of its hashes, which similar sets
     must share a value of) to buckets; values that several sets share make
-    blocks. (2) In each block all are compared with the set of the smallest
-    id, which joins large families of near copies by a number of pairs linear
-    in their size. (3) An R-tree over the count vectors of each block finds
-    the pairs of different components that can still be similar. Both kinds of
-    pairs are checked on the whole sets, so the result is exact.
+    blocks. (2) In each large block all are compared with the set of the
+    smallest id, which joins families of near copies by a number of pairs
+    linear in their size. (3) An R-tree over the count vectors of each block
+    finds the pairs of different components that can still be similar; small
+    blocks are one leaf and give their pairs at once. All pairs pass the bound
+    on the counts and are checked on the whole sets, so the result is exact.
     """
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -294,37 +334,40 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     slim = nodes.select("node", "rep", "n")
     blocks = staged(members.join(slim, "node"), "join-members")
 
-    centres = blocks.groupBy("key").agg(
-        F.min(F.struct("rep", "node", "n")).alias("c"), F.count(F.lit(1)).alias("width")
+    centres = (
+        blocks.groupBy("key")
+        .agg(F.min(F.struct("rep", "node", "n")).alias("c"), F.count(F.lit(1)).alias("width"))
+        .where(F.col("width") > SMALL)
     )
     stars = (
         blocks.join(centres, "key")
         .where((F.col("node") != F.col("c.node")) & (DEN * F.least("n", "c.n") >= NUM * F.greatest("n", "c.n")))
         .select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v"))
-        .distinct()
     )
-    side = nodes.select("node", "n", "counts")
-    bounded = stars.join(side.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("counts").alias("c_u")), "u")
-    bounded = bounded.join(side.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("counts").alias("c_v")), "v")
-    star_links = _verified(
-        bounded.select("u", "v", "n_u", "n_v", "c_u", "c_v").mapInArrow(_bounded, "u binary, v binary"),
-        docs, nodes, id_col, text_col, width,
-    )
+    star_links = _verified(stars, docs, nodes, id_col, text_col, width)
     joined = components(star_links)
 
     roots = slim.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    rooted = staged(blocks.join(roots, "node"), "join-rooted")
+    rooted = staged(blocks.join(roots, "node").select("key", "node", "n", "root"), "join-rooted")
     mixed = (
         rooted.groupBy("key")
         .agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("width"))
         .where("r0 <> r1")
         .select("key", "width")
     )
+    apart = staged(rooted.join(mixed, "key"), "join-apart")
+    small = (
+        apart.where(F.col("width") <= SMALL)
+        .select("key", "node", "n", "root")
+        .repartition(buckets, "key")
+        .sortWithinPartitions("key", "n")
+        .mapInArrow(_small_pairs, "u binary, v binary")
+    )
     # similar sizes lie in one band or two that adjoin: bands are a little wider than the least ratio
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.01 * DEN / NUM))).cast("int")
     bands = F.when(F.col("width") > WIDE, F.array(band, band - 1)).otherwise(F.array(F.lit(-9)))
-    candidates = (
-        rooted.join(mixed, "key")
+    large = (
+        apart.where(F.col("width") > SMALL)
         .withColumn("band", F.explode(bands))
         .withColumn("home", (F.col("width") <= WIDE) | (F.col("band") == band))
         .join(nodes.select("node", "counts"), "node")
@@ -333,6 +376,7 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .sortWithinPartitions("key", "band", "n")
         .mapInArrow(_block_pairs, "u binary, v binary")
     )
+    candidates = small.unionByName(large)
     links = _verified(candidates, docs, nodes, id_col, text_col, width)
     merged = components(
         links.unionByName(joined.select(F.col("root").alias("u"), F.col("node").alias("v")))

@@ -69,7 +69,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
-    def fit(cls, sets: list[np.ndarray], label: np.ndarray, seed: int = 0, epochs: int = 150) -> "FactorizationMachine":
+    def fit(cls, sets: list[np.ndarray], label: np.ndarray, seed: int = 0, epochs: int = 300) -> "FactorizationMachine":
         """Fits on term sets by Adam. Terms are those whose rates differ most between the classes."""
         n1, n0 = int((label == 1).sum()), int((label == 0).sum())
         if not n1 or not n0:
@@ -80,9 +80,9 @@ class FactorizationMachine:
         df0 = np.bincount(term[label[row] == 0], minlength=1 << BITS)
         p = (df1 + df0) / (n1 + n0)
         z = np.abs(df1 / n1 - df0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-        z[df1 + df0 < 3] = 0
+        z[df1 + df0 < 8] = 0
         terms = np.sort(np.argsort(-z, kind="stable")[:TERMS])
-        terms = terms[z[terms] > 3]
+        terms = terms[z[terms] > 6]
         rng = np.random.default_rng(seed)
         fm = cls(terms, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), RANK)), 0.0)
         k = fm.index[term]
@@ -90,7 +90,7 @@ class FactorizationMachine:
         weight = np.where(label == 1, 0.5 / n1, 0.5 / n0)
         par = [fm.weights, fm.factors, np.zeros(1)]
         m, s = [np.zeros_like(x) for x in par], [np.zeros_like(x) for x in par]
-        decay = [1e-4, 1e-3, 0.0]
+        decay = [3e-5, 3e-4, 0.0]
         for t in range(1, epochs + 1):
             w, v, b = par
             sums = np.stack([np.bincount(row, v[k, f], len(sets)) for f in range(RANK)], axis=1)
@@ -124,8 +124,12 @@ def factorization_machine(
     label = np.asarray(got.column("label").combine_chunks()).astype(np.int64)
     lists = got.column("terms").combine_chunks()
     at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-    order = np.lexsort((np.diff(at), label)) if len(label) else []
-    model = FactorizationMachine.fit([flat[at[i] : at[i + 1]] for i in order], label[order] if len(label) else label, seed)
+    # equal term sets count once, so that copies lend their terms no weight; the order is fixed by content
+    once = {(flat[at[i] : at[i + 1]].tobytes(), int(label[i])) for i in range(len(label))}
+    taught_sets = sorted(once)
+    model = FactorizationMachine.fit(
+        [np.frombuffer(s, np.int32) for s, _ in taught_sets], np.array([y for _, y in taught_sets], np.int64), seed
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
