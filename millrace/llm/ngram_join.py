@@ -236,15 +236,37 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block(held)
 
 
+def _fine(s: np.ndarray) -> bytes:
+    """Counts of about two values a group, for a bound that holds for long texts as well."""
+    bits = max(8, int(len(s) // 2).bit_length())
+    c = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(c, 255).astype(np.uint8).tobytes()
+
+
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with both fine counts to those that their bound does not rule out."""
+    for b in batches:
+        keep = []
+        for k, (x, y) in enumerate(zip(b.column("f_u").to_pylist(), b.column("f_v").to_pylist())):
+            p, q = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+            n, g = int(p.sum() + q.sum()), min(len(p), len(q))
+            if max(p.max(), q.max()) == 255:  # a group that stands for more bounds nothing
+                keep.append(k)
+                continue
+            bound = int(np.minimum(p.reshape(g, -1).sum(1), q.reshape(g, -1).sum(1)).sum())
+            if (NUM + DEN) * bound >= NUM * n:
+                keep.append(k)
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("u").take(at), b.column("v").take(at)], names=["u", "v"])
+
+
 def _setter(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, len(b), 500):
                 sets = shingle_sets(b.slice(lo, 500).column(0), width)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["node", "set"],
-                )
+                cols = [_node(s) for s in sets], [_fine(s) for s in sets], [s.tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["node", "fine", "set"])
 
     return run
 
@@ -277,7 +299,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Those distinct pairs of nodes whose sets are similar enough.
 
-    The bound on counts comes first. Only the texts of nodes in a pair are read into sets again, one text a node.
+    Bounds on counts, coarse and fine, come first. Only the texts of nodes in a pair are read into sets again, one text a node.
     """
     side = nodes.select("node", "n", "counts")
     ends = staged(pairs.distinct(), "join-candidates")
@@ -288,11 +310,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str,
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("_rep")).distinct()
     texts = docs.join(ids, docs[id_col].eqNullSafe(ids["_rep"]), "left_semi").select(text_col)
-    sets = texts.mapInArrow(_setter(width), "node binary, set binary")
-    sets = staged(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "join-sets", codec="none")
-    with_u = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u")
-    with_v = with_u.join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
-    return staged(with_v.select("u", "v", "set_u", "set_v").mapInArrow(_linked, "u binary, v binary"), "join-links")
+    sets = texts.mapInArrow(_setter(width), "node binary, fine binary, set binary")
+    sets = staged(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "join-sets")
+
+    def paired(pairs: DataFrame, column: str, short: str) -> DataFrame:
+        for e in ("u", "v"):
+            pairs = pairs.join(sets.select(F.col("node").alias(e), F.col(column).alias(f"{short}_{e}")), e)
+        return pairs.select("u", "v", f"{short}_u", f"{short}_v")
+
+    pairs = staged(paired(pairs, "fine", "f").mapInArrow(_finer, "u binary, v binary"), "join-finer")
+    return staged(paired(pairs, "set", "set").mapInArrow(_linked, "u binary, v binary"), "join-links")
 
 
 def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

@@ -47,14 +47,17 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(
-    data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE
-) -> tuple[np.ndarray, np.ndarray]:
+    data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, ...]:
     """Hash of each word (A-Z lower-cased), and where each text's words begin (n + 1 places).
 
-    ``between`` marks the bytes that separate words.
+    ``between`` marks the bytes that separate words. For each of ``prefixes``
+    an array follows with the hash of every word's first so many bytes, 0 for
+    words that are no longer than that.
     """
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.uint64)
+        return none, np.zeros(len(offsets), np.int64), *[none for _ in prefixes]
     word = np.zeros(len(data) + 2, dtype=bool)
     word[1:-1] = ~between[data]
     fresh = np.zeros(len(data) + 1, dtype=bool)
@@ -64,7 +67,13 @@ def word_hashes(
     p, inv = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * p[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inv[starts]), np.searchsorted(starts, offsets)
+    first = sums[starts], inv[starts]
+    heads = []
+    for n in prefixes:
+        longer = ends - starts > n
+        h = mixed((sums[np.minimum(starts + n, len(data))] - first[0]) * first[1] + np.uint64(n))
+        heads.append(np.where(longer, h, np.uint64(0)))
+    return mixed((sums[ends] - first[0]) * first[1]), np.searchsorted(starts, offsets), *heads
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:

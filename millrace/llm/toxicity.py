@@ -15,34 +15,40 @@ from millrace.llm.text import fold_of
 
 #: log2 of the number of hashed terms; terms the machine weighs, at most; factors of each term.
 BITS, TERMS, RANK = 20, 4096, 4
+#: Besides whole words, their first bytes are terms, for stems that many words share.
+PREFIXES = (5, 7)
 #: Bytes between terms: all of ASCII but letters.
 _BETWEEN = np.ones(256, dtype=bool)
 _BETWEEN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def _terms(texts: pa.Array, active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term) for every distinct hashed term of each text; only active terms if given."""
+def _terms(texts: pa.Array, active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, value) for every distinct hashed term of each text; only active terms if given.
+
+    The value of a term that occurs n times is 1 + ln n.
+    """
     data, offsets = text_bytes(texts)
-    h, at = word_hashes(data, offsets, _BETWEEN)
-    term = (h >> np.uint64(64 - BITS)).astype(np.int64)
+    h, at, *heads = word_hashes(data, offsets, _BETWEEN, PREFIXES)
     row = np.repeat(np.arange(len(texts)), np.diff(at))
+    row = np.concatenate([row, *[row[x != 0] for x in heads]])
+    term = (np.concatenate([h, *[x[x != 0] for x in heads]]) >> np.uint64(64 - BITS)).astype(np.int64)
     if active is not None:
         keep = active[term] >= 0
         row, term = row[keep], term[keep]
-    both = np.unique(row << BITS | term)
-    return both >> BITS, both & ((1 << BITS) - 1)
+    both, n = np.unique(row << BITS | term, return_counts=True)
+    return both >> BITS, both & ((1 << BITS) - 1), 1 + np.log(n)
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        row, term = _terms(b.column("text"))
-        edges = np.searchsorted(row, np.arange(len(b) + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(term.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([b.column("label"), lists], names=["label", "terms"])
+        row, term, value = _terms(b.column("text"))
+        edges = pa.array(np.searchsorted(row, np.arange(len(b) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (term.astype(np.int32), value.astype(np.float32))]
+        yield pa.RecordBatch.from_arrays([b.column("label"), *lists], names=["label", "terms", "weights"])
 
 
 class FactorizationMachine:
-    """Logistic factorization machine on sets of terms: bias, a weight and ``RANK`` factors a term.
+    """Logistic factorization machine on weighted terms: bias, a weight and ``RANK`` factors a term.
 
     The pairwise part, the sum over pairs of the products of their factors,
     lets two terms together count more or less than the sum of their weights.
@@ -60,17 +66,20 @@ class FactorizationMachine:
         self.__init__(*state)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        row, term = _terms(texts, self.index)
+        row, term, x = _terms(texts, self.index)
         k, n = self.index[term], len(texts)
-        z = self.bias + np.bincount(row, self.weights[k], n)
+        z = self.bias + np.bincount(row, self.weights[k] * x, n)
         for f in range(self.factors.shape[1]):
-            v = self.factors[k, f]
+            v = self.factors[k, f] * x
             z += 0.5 * (np.bincount(row, v, n) ** 2 - np.bincount(row, v * v, n))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
-    def fit(cls, sets: list[np.ndarray], label: np.ndarray, seed: int = 0, epochs: int = 300) -> "FactorizationMachine":
-        """Fits on term sets by Adam. Terms are those whose rates differ most between the classes."""
+    def fit(cls, sets: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, share: float = 0.5, seed: int = 0, epochs: int = 300) -> "FactorizationMachine":
+        """Fits on term sets by Adam, the classes weighed as ``share`` of label 1 and the rest.
+
+        Terms are those whose rates differ most between the classes.
+        """
         n1, n0 = int((label == 1).sum()), int((label == 0).sum())
         if not n1 or not n0:
             return cls(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, RANK)), 4.0 if n1 else -4.0)
@@ -86,19 +95,22 @@ class FactorizationMachine:
         rng = np.random.default_rng(seed)
         fm = cls(terms, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), RANK)), 0.0)
         k = fm.index[term]
+        x = np.concatenate(values).astype(np.float64)[k >= 0]
         row, k = row[k >= 0], k[k >= 0]
-        weight = np.where(label == 1, 0.5 / n1, 0.5 / n0)
+        weight = np.where(label == 1, share / n1, (1 - share) / n0)
         par = [fm.weights, fm.factors, np.zeros(1)]
         m, s = [np.zeros_like(x) for x in par], [np.zeros_like(x) for x in par]
-        decay = [3e-5, 3e-4, 0.0]
+        decay = [5e-5, 3e-4, 0.0]
         for t in range(1, epochs + 1):
             w, v, b = par
-            sums = np.stack([np.bincount(row, v[k, f], len(sets)) for f in range(RANK)], axis=1)
-            squares = np.bincount(row, (v[k] ** 2).sum(1), len(sets))
-            out = b[0] + np.bincount(row, w[k], len(sets)) + 0.5 * ((sums**2).sum(1) - squares)
+            vx = v[k] * x[:, None]
+            sums = np.stack([np.bincount(row, vx[:, f], len(sets)) for f in range(RANK)], axis=1)
+            squares = np.bincount(row, (vx**2).sum(1), len(sets))
+            out = b[0] + np.bincount(row, w[k] * x, len(sets)) + 0.5 * ((sums**2).sum(1) - squares)
             d = weight * (1 / (1 + np.exp(-np.clip(out, -30, 30))) - label)
-            gw = np.bincount(k, d[row], len(terms))
-            gv = np.stack([np.bincount(k, d[row] * (sums[row, f] - v[k, f]), len(terms)) for f in range(RANK)], axis=1)
+            dx = d[row] * x
+            gw = np.bincount(k, dx, len(terms))
+            gv = np.stack([np.bincount(k, dx * (sums[row, f] - vx[:, f]), len(terms)) for f in range(RANK)], axis=1)
             for q, g in enumerate((gw, gv, np.array([d.sum()]))):
                 g = g + decay[q] * par[q]
                 m[q] = 0.9 * m[q] + 0.1 * g
@@ -120,15 +132,20 @@ def factorization_machine(
     """
     chosen = F.broadcast(training_labels(labels, column, per_class, seed))
     taught = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").select("label", "text")
-    got = taught.mapInArrow(_sampled, "label int, terms array<int>").toArrow().combine_chunks()
+    got = taught.mapInArrow(_sampled, "label int, terms array<int>, weights array<float>").toArrow().combine_chunks()
     label = np.asarray(got.column("label").combine_chunks()).astype(np.int64)
-    lists = got.column("terms").combine_chunks()
-    at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+    lists, vals = got.column("terms").combine_chunks(), got.column("weights").combine_chunks()
+    at, flat, amount = np.asarray(lists.offsets), np.asarray(lists.values), np.asarray(vals.values)
+    share = labels.where(F.col(column).isNotNull() & (fold_of(F.col("doc_id")) != 0)).agg(F.avg(column)).first()[0]
     # equal term sets count once, so that copies lend their terms no weight; the order is fixed by content
-    once = {(flat[at[i] : at[i + 1]].tobytes(), int(label[i])) for i in range(len(label))}
-    taught_sets = sorted(once)
+    once = {(flat[a:b].tobytes(), amount[a:b].tobytes(), int(y)) for a, b, y in zip(at[:-1], at[1:], label)}
+    rows = sorted(once)
     model = FactorizationMachine.fit(
-        [np.frombuffer(s, np.int32) for s, _ in taught_sets], np.array([y for _, y in taught_sets], np.int64), seed
+        [np.frombuffer(s, np.int32) for s, _, _ in rows],
+        [np.frombuffer(v, np.float32) for _, v, _ in rows],
+        np.array([y for _, _, y in rows], np.int64),
+        share or 0.5,
+        seed,
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
