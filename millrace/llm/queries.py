@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, mixing, ngram_join, packing, pii, quality_ranking, quality_rules, sharding, toxicity
+from millrace.llm import exact_dedup, mixing, ngram_join, packing, pii, quality_ranking, quality_rules, sharding, substrings, toxicity
 from millrace.llm.text import table
 from millrace.storage import staged
 
@@ -34,6 +34,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.factorization_machine(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_sharding,
             op2_toxicity,
+            op3_suffix_array_dedup,
             op4_pii,
             op5_ngram_join,
             op6_packing,
