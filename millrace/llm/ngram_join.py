@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.components import components
+from millrace.operators.graph import components
 from millrace.llm.rtree import CountTree
 from millrace.llm.shingles import shingle_sets
 from millrace.storage import staged
@@ -22,6 +22,8 @@ NUM, DEN = 3, 4
 GROUPS = 256
 #: Keys a map task gathers before it sends them; nodes of a block beyond which it is split by size.
 FLUSH, WIDE = 2_000_000, 4096
+#: Values that are told apart as frequent, at most (32 MB).
+FREQUENT = 4_000_000
 #: Nodes of a block up to which its pairs are listed without a tree.
 SMALL = 16
 
@@ -31,7 +33,7 @@ _NAMES = ["bucket", "doc_id", "n", "node", "counts", "nodes", "keys", "at"]
 
 
 def _prefix(n: int) -> int:
-    """Two sets that are similar enough share a value among the first so many of each, in hash order."""
+    """Two sets that are similar enough share a value among the first so many of each, in any common order."""
     return n - -(-NUM * n // DEN) + 1
 
 
@@ -40,7 +42,62 @@ def _node(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b"\0" * 16
 
 
-def _signer(width: int, buckets: int):
+def _frequent(width: int):
+    """Values that several sets of a task share, with their number there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            k, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k[n > 2].view(np.int64)), pa.array(n[n > 2])], names=["key", "n"])
+            held.clear()
+
+        for b in batches:
+            for lo in range(0, len(b), 500):
+                for s in shingle_sets(b.slice(lo, 500).column(0), width):
+                    name = _node(s)
+                    if len(s) and name not in seen:
+                        seen.add(name)
+                        held.append(s)
+                        size += len(s)
+                if size > 2 * FLUSH:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def frequent_values(docs: DataFrame, text_col: str, width: int, most: int = FREQUENT) -> np.ndarray:
+    """Sorted values that many sets share: none with fewer than 16, and ``most`` at most.
+
+    Only counts that reach 1 / ``most`` of all counted are kept, so there can be
+    no more than ``most`` of them. They merely order the values of a set, the
+    frequent last; any order gives the same links.
+    """
+    counts = staged(
+        docs.select(text_col).mapInArrow(_frequent(width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")),
+        "join-frequent",
+    )
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    got = counts.where(F.col("n") >= max(16, -(-total // most))).select("key").toArrow().column("key")
+    return np.sort(np.asarray(got.combine_chunks()).view(np.uint64))
+
+
+def _last(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The values of a set with the frequent ones behind the others."""
+    if not len(frequent):
+        return s
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    often = frequent[at] == s
+    return np.concatenate([s[~often], s[often]]) if often.any() else s
+
+
+def _signer(width: int, buckets: int, common):
     """Texts to document rows, and per bucket the prefix values with the sets they come from.
 
     Equal sets within a task are sent once. Values go out as arrays, one row
@@ -85,7 +142,7 @@ def _signer(width: int, buckets: int):
                     counts.append(np.minimum(c, 65535).astype(np.uint8 if c.max() < 256 else np.uint16).tobytes())
                     if len(s) and name not in nodes:
                         nodes[name] = len(nodes)
-                        keys.append(s[: _prefix(len(s))])
+                        keys.append(_last(s, common.value)[: _prefix(len(s))])
                         held += len(keys[-1])
                 n = len(sets)
                 own = [int(x[0]) % buckets for x in ids]
@@ -331,9 +388,10 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     with equal sets, repeated ids included, are one node from the start. Rows
     without an id take part and are named by the others of their group.
 
-    Steps: (1) one pass over the texts gives each set's size and count vector
-    and sends its prefix (the first quarter of its hashes, which similar sets
-    must share a value of) to buckets; values that several sets share make
+    Steps: (0) one pass finds values that many texts share, to order them last.
+    (1) A second gives each set's size and count vector and sends its prefix
+    (the first quarter of its values in that order, which similar sets must
+    share a value of) to buckets; values that several sets share make
     blocks. (2) In each large block all are compared with the set of the
     smallest id, which joins families of near copies by a number of pairs
     linear in their size. (3) An R-tree over the count vectors of each block
@@ -343,7 +401,8 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    signed = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_signer(width, buckets), _ROWS)
+    common = spark.sparkContext.broadcast(frequent_values(docs, text_col, width))
+    signed = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_signer(width, buckets, common), _ROWS)
     first = staged(
         signed.repartition(buckets, "bucket").mapInArrow(
             _shared, "kind int, doc_id long, n int, node binary, counts binary, key long"
