@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PARTS = "genus string, epithet string, infra string, rank string, authorship string, hybrid boolean, uncertain boolean"
@@ -37,6 +38,10 @@ def parse_name(raw: str | None) -> dict:
     return out
 
 
-@F.pandas_udf(PARTS)
-def parse_scientific_name(raw: pd.Series) -> pd.DataFrame:
+def _parsed(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_name(x) for x in raw], columns=[p.split()[0] for p in PARTS.split(", ")])
+
+
+def parse_scientific_name(raw: Column | str) -> Column:
+    """Struct of the parts of a name column."""
+    return F.pandas_udf(_parsed, PARTS)(raw)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 15
@@ -78,14 +78,15 @@ def group_mass(probs: DataFrame, classes: DataFrame, id_col: str, group: str = "
 
 def temperature(pred: DataFrame, logits: str = "logits", label: str = "label", lo: float = 0.05, hi: float = 10.0, points: int = 60, rounds: int = 4) -> float:
     """The temperature of least negative log-likelihood, by a grid that narrows; one job a round."""
+    def loss(t: float) -> Column:
+        z = F.transform(logits, lambda v: v.cast("double") / F.lit(t))
+        top = F.array_max(z)
+        total = F.aggregate(F.transform(z, lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)
+        return F.avg(F.log(total) + top - F.get(z, F.col(label)))
+
     for _ in range(rounds):
         grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
-        aggs = []
-        for i, t in enumerate(grid):
-            z = F.transform(logits, lambda v, t=t: v.cast("double") / F.lit(t))
-            top = F.array_max(z)
-            total = F.aggregate(F.transform(z, lambda v, top=top: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)
-            aggs.append(F.avg(F.log(total) + top - F.get(z, F.col(label))).alias(f"t{i}"))
+        aggs = [loss(t).alias(f"t{i}") for i, t in enumerate(grid)]
         row = pred.agg(*aggs).first()
         best = min(range(points), key=lambda i: (row[i], i))
         lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, points - 1)]
