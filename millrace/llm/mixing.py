@@ -211,7 +211,13 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(F.col("doc_id").alias("_i"), F.col("_xx").alias("_h"), F.col("source").alias("_s"), "copies")
         .distinct()
     )
-    match = docs[id_col].eqNullSafe(taken["_i"]) & (F.xxhash64(docs[text_col]) == taken["_h"])
-    joined = docs.join(taken, match & docs[source_col].eqNullSafe(taken["_s"]))
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return joined.withColumn("_copy", copies).select(*docs.columns)
+    # whole rows travel in one column, so no name among theirs can clash
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        F.col(id_col).alias("_id"),
+        F.xxhash64(F.col(text_col)).alias("_text_hash"),
+        F.col(source_col).alias("_from"),
+    )
+    match = rows["_id"].eqNullSafe(taken["_i"]) & (rows["_text_hash"] == taken["_h"]) & rows["_from"].eqNullSafe(taken["_s"])
+    joined = rows.join(taken, match).select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    return joined.select("_row.*")

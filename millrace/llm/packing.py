@@ -119,11 +119,21 @@ def tokenized_pieces(
 
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """The shortest of the plans that look up complements of one, two or three lengths.
+
+    Triples close more gaps exactly but use up short lengths that would have
+    filled the rest; which weighs more depends on the lengths.
+    """
+    plans = [_plan(counts, capacity, depth) for depth in (1, 2, 3)]
+    return min(plans, key=lambda p: sum(m for _, m in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths with the number of sequences each fills.
 
     Works on the histogram alone (at most ``capacity`` lengths), so its cost
     does not depend on the number of pieces. Longest first: a length's gap is
-    looked up among single lengths, then pair sums, then triple sums, each
+    looked up among single lengths, then pair and triple sums as ``depth`` allows, each
     with its largest member as large as possible; as many sequences are made
     at once as the counts allow. What has no exact filling is placed best-fit,
     longest first, into the open sequence with the smallest sufficient gap.
@@ -168,7 +178,11 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
         gap, stuck = capacity - a, False
         while left[a] and not stuck:
             left[a] -= 1
-            found: tuple[int, ...] | None = (gap,) if left[gap] else pair(gap, min(gap, a)) or triple(gap, min(gap, a))
+            found: tuple[int, ...] | None = (gap,) if left[gap] else None
+            if not found and depth > 1:
+                found = pair(gap, min(gap, a))
+            if not found and depth > 2:
+                found = triple(gap, min(gap, a))
             left[a] += 1
             stuck = found is None or not take((a, *found))
     # best fit: open[g] holds patterns with gap g

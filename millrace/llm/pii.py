@@ -170,7 +170,9 @@ def _trained(rows: list) -> tuple[tuple[float, list[boosting.Node]], float]:
     z, t = boosting.raw_scores(model, x[held]), y[held]
     order = np.argsort(-z, kind="stable")
     precision = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero((precision >= 0.99) & (np.arange(1, len(order) + 1) >= 10))
+    # a cut lies between different scores, or it would let in all that tie with it
+    ends = np.r_[z[order][1:] < z[order][:-1], True]
+    good = np.flatnonzero((precision >= 0.99) & ends & (np.arange(1, len(order) + 1) >= 10))
     return model, float(z[order][good[-1]]) if len(good) else float("inf")
 
 

@@ -168,7 +168,9 @@ def passing(docs: DataFrame, host_col: str = "source", text_col: str = "text", r
     Two passes over the texts, one for the hosts and one for the rows, which
     costs less than shuffling the texts to a table of verdicts.
     """
-    hosts = host_verdicts(document_metrics(docs, text_col, rules), host_col, rules)
+    # whole rows travel in one column, so no name among theirs can clash
+    slim = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
+    hosts = host_verdicts(document_metrics(slim.select("text", "host"), "text", rules), "host", rules)
     bad = staged(hosts.where(~F.col("host_ok")).select("_host"), "rules-hosts")
-    fine = document_metrics(docs, text_col, rules).where(~F.col("base_failed")).select(*docs.columns)
-    return fine.join(bad, fine[host_col].eqNullSafe(bad["_host"]), "left_anti")
+    fine = document_metrics(slim, "text", rules).where(~F.col("base_failed")).select("_row", "host")
+    return fine.join(bad, fine["host"].eqNullSafe(bad["_host"]), "left_anti").select("_row.*")
