@@ -21,7 +21,7 @@ NUM, DEN = 3, 4
 #: Coordinates of a count vector: groups that shingle hashes fall into.
 GROUPS = 256
 #: Keys a map task gathers before it sends them; nodes of a block beyond which it is split by size.
-FLUSH, WIDE = 2_000_000, 4096
+FLUSH, WIDE = 1_000_000, 4096
 #: Values that are told apart as frequent, at most (32 MB).
 FREQUENT = 4_000_000
 #: Nodes of a block up to which its pairs are listed without a tree.

@@ -18,7 +18,7 @@ from millrace.storage import staged
 CAPACITY = 1024
 END = 2
 #: Chunks of text whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 120_000
 _encoders: dict[str, "_Encoder"] = {}
 
 
@@ -34,10 +34,8 @@ class _Encoder(dict):
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.exact = Tokenizer.from_file(path)
+        self.path, self._exact = path, None
         ranks_path = path.removesuffix(".json") + ".tiktoken"
         import public_tokenizers
 
@@ -45,6 +43,15 @@ class _Encoder(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def exact(self):
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            self._exact = Tokenizer.from_file(self.path)
+        return self._exact
+
     def encode(self, text: str) -> bytes:
         if text.isascii() or max(text) < "ɐ":
             if "<|" not in text:

@@ -13,6 +13,8 @@ _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BYTE[65:91] = _BYTE[97:123]
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are hashed at once, cut between words: the arrays behind it take some 60 bytes for each.
+PIECE = 1 << 19
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -55,9 +57,31 @@ def word_hashes(
     an array follows with the hash of every word's first so many bytes, 0 for
     words that are no longer than that.
     """
-    if not len(data):
-        none = np.zeros(0, np.uint64)
-        return none, np.zeros(len(offsets), np.int64), *[none for _ in prefixes]
+    hashes: list[np.ndarray] = []
+    starts: list[np.ndarray] = []
+    heads: list[list[np.ndarray]] = [[] for _ in prefixes]
+    lo = 0
+    while lo < len(data):
+        hi = min(lo + PIECE, len(data))
+        while hi < len(data) and not between[data[hi]]:
+            gaps = np.flatnonzero(between[data[hi : hi + PIECE]])
+            hi += int(gaps[0]) if len(gaps) else len(data[hi : hi + PIECE])
+        fresh = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
+        h, at, first = _word_hashes(data[lo:hi], fresh, between, prefixes)
+        hashes.append(h)
+        starts.append(at + lo)
+        for known, x in zip(heads, first):
+            known.append(x)
+        lo = hi
+    none = [np.zeros(0, np.uint64)]
+    where = np.searchsorted(np.concatenate(starts), offsets) if starts else np.zeros(len(offsets), np.int64)
+    return np.concatenate(hashes or none), where, *[np.concatenate(x or none) for x in heads]
+
+
+def _word_hashes(
+    data: np.ndarray, offsets: np.ndarray, between: np.ndarray, prefixes: tuple[int, ...]
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Hashes, starts and prefix hashes of the words of one piece; texts begin at ``offsets``."""
     word = np.zeros(len(data) + 2, dtype=bool)
     word[1:-1] = ~between[data]
     fresh = np.zeros(len(data) + 1, dtype=bool)
@@ -70,10 +94,9 @@ def word_hashes(
     first = sums[starts], inv[starts]
     heads = []
     for n in prefixes:
-        longer = ends - starts > n
         h = mixed((sums[np.minimum(starts + n, len(data))] - first[0]) * first[1] + np.uint64(n))
-        heads.append(np.where(longer, h, np.uint64(0)))
-    return mixed((sums[ends] - first[0]) * first[1]), np.searchsorted(starts, offsets), *heads
+        heads.append(np.where(ends - starts > n, h, np.uint64(0)))
+    return mixed((sums[ends] - first[0]) * first[1]), starts, heads
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:

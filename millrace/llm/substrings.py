@@ -18,7 +18,8 @@ from millrace.storage import staged
 LENGTH, GRAM = 50, 20
 #: Distinct bytes that one suffix array covers, unless a single key has more.
 SHARD_BYTES = 1 << 20
-FLUSH = 1_500_000
+#: Keys a map task gathers before it sends them; bytes of a text that are hashed at once.
+FLUSH, PIECE = 1_000_000, 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C17 | 3)
 _TABLE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -32,6 +33,13 @@ def key_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if n < LENGTH:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if n > 2 * PIECE:
+        parts = [(lo, key_runs(data[lo : lo + PIECE + LENGTH - 1])) for lo in range(0, n - LENGTH + 1, PIECE)]
+        key = np.concatenate([r[0] for _, r in parts])
+        first = np.concatenate([r[1] + lo for lo, r in parts])
+        new = np.r_[True, key[1:] != key[:-1]]  # runs go on across pieces
+        first = first[new]
+        return key[new], first, np.diff(np.r_[first, n - LENGTH + 1])
     h = np.zeros(n - GRAM + 1, dtype=np.uint64)
     values = _TABLE[data]
     for k in range(GRAM):
