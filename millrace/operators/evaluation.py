@@ -76,7 +76,7 @@ def group_mass(probs: DataFrame, classes: DataFrame, id_col: str, group: str = "
     return probs.join(classes, "class").groupBy(id_col, group).agg(F.sum("p").alias("mass"))
 
 
-def temperature(pred: DataFrame, logits: str = "logits", label: str = "label", lo: float = 0.05, hi: float = 10.0, points: int = 60, rounds: int = 4) -> float:
+def temperature(pred: DataFrame, logits: str = "logits", label: str = "label", lo: float = 0.05, hi: float = 10.0, points: int = 16, rounds: int = 7) -> float:
     """The temperature of least negative log-likelihood, by a grid that narrows; one job a round."""
     def loss(t: float) -> Column:
         z = F.transform(logits, lambda v: v.cast("double") / F.lit(t))
