@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import boosting
@@ -23,7 +25,7 @@ LOOSE = {
     r"(?:(?:\.|[\x20]?[\[({](?:dot|DOT)[\])}][\x20]?|[\x20]dot[\x20])[A-Za-z]{2,10})+",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]|[\x20]\.[\x20])[0-9]{1,3}){3}(?![0-9.])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,3}[0-9]{4}){3}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:00[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20./-]{1,2}[0-9]{3}[\x20./-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:(?:00|\+)[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20./-]{1,2}[0-9]{3}[\x20./-][0-9]{4}(?![0-9])",
 }
 #: A text without a match of these has none of the kind's base or loose patterns either.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
@@ -40,9 +42,15 @@ CUES = {
     "card": r"(?i)card|visa|master|credit|pay",
     "phone": r"(?i)phone|tel\b|tel[.:]|call|fax|mobile",
 }
-FEATURES = ["kind", "length", "digits", "letters", "dots", "ats", "separators", "brackets", "cue", "label", "glued", "plus"]
-#: Candidates that training reads, at most.
-SAMPLE = 20_000
+#: Words before an item that speak for a number of another sort.
+OTHER = r"(?i)order|part|item|\bref|invoice|serial|version|section|chapter|page|isbn|build|release|\bsku|\blot\b|\bno[.]"
+#: What the item itself must look like to be plausible, beside its checksum or ranges.
+TOP = r"[^A-Za-z](?:com|org|net|edu|gov|info|biz|io|co|de|fr|es|it|nl|uk|us|eu|ch|COM|ORG|NET|EDU)$"
+ISSUED = r"^(?:[3-6]|2[2-7])"
+DIALLED = r"^(?:\+|00|\(|[2-9][0-9]{2}[\x20./-]{1,2}[2-9])"
+FEATURES = ["length", "digits", "letters", "dots", "ats", "spaces", "separators", "slashes", "brackets", "cue", "other", "label", "glued", "plus", "spelled", "valid"]
+#: Made-up examples of each kind that the trees are fitted on, half of them items.
+EXAMPLES = 1_200
 CONTEXT = 24
 
 _SPAN = "array<struct<kind:int,start:bigint,end:bigint,item:string>>"
@@ -107,8 +115,19 @@ def _apart(spans: Column, others: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
 
 
-def _described(text: Column, spans: Column, base: Column) -> Column:
-    """Candidates with the features the trees read. ``label`` tells whether a base span of the kind lies inside."""
+def _plausible(kind: Column, item: Column) -> Column:
+    """Whether the item has a usual ending, octets up to 255, an issuer with the right check digit, or a dialling form."""
+    octets = F.regexp_replace(item, r"[\[\]\x20]", "")
+    return (
+        F.when(kind == 0, item.rlike(TOP))
+        .when(kind == 1, _octets(octets))
+        .when(kind == 2, item.rlike(ISSUED) & _luhn(_digits(item)))
+        .otherwise(item.rlike(DIALLED))
+    )
+
+
+def _described(text: Column, spans: Column) -> Column:
+    """Candidates with the features the trees read."""
 
     def describe(s: Column) -> Column:
         item = s["item"]
@@ -117,26 +136,28 @@ def _described(text: Column, spans: Column, base: Column) -> Column:
         for i, k in enumerate(KINDS):
             cue = cue | ((s["kind"] == i) & before.rlike(CUES[k]))
         count = lambda p: F.regexp_count(item, F.lit(p)).cast("double")
-        same = F.exists(base, lambda o: (o["kind"] == s["kind"]) & (s["start"] < o["end"]) & (o["start"] < s["end"]))
         return F.struct(
             s["kind"].alias("kind"),
             s["start"].alias("start"),
             s["end"].alias("end"),
             F.array(
-                s["kind"].cast("double"),
                 F.char_length(item).cast("double"),
                 count("[0-9]"),
                 count("[A-Za-z]"),
                 count(r"\."),
                 count("@"),
-                count(r"[\x20_/-]"),
+                count(r"\x20"),
+                count("[_-]"),
+                count("/"),
                 count(r"[\[\](){}]"),
                 cue.cast("double"),
-                before.rlike(r"[:=][\x20]?$").cast("double"),
-                before.rlike(r"[A-Za-z0-9]$").cast("double"),
-                before.rlike(r"\+$").cast("double"),
+                before.rlike(OTHER).cast("double"),
+                before.rlike(r"[:=][\x20]?\z").cast("double"),
+                before.rlike(r"[A-Za-z0-9]\z").cast("double"),
+                count(r"\+"),
+                count(r"(?i)[\x20\[({]dot[\x20\])}]|\[\.\]|\x20\.\x20"),
+                _plausible(s["kind"], item).cast("double"),
             ).alias("x"),
-            same.cast("int").alias("same"),
         )
 
     return F.transform(spans, describe)
@@ -146,56 +167,151 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Per row its id, the base spans of each kind, and the loose candidates with features. One pass over the texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
-    df = with_base_spans(df).withColumn("_base", F.concat(*KINDS))
+    df = with_base_spans(df)
     for k in KINDS:
         df = _found(df, f"_loose_{k}", k, LOOSE[k], MAY[k])
     df = df.withColumn("_loose", F.concat(*[f"_loose_{k}" for k in KINDS]))
     bare = [F.transform(k, lambda s: s.dropFields("item")).alias(k) for k in KINDS]
-    return df.select("doc_id", *bare, _described(F.col("_text"), F.col("_loose"), F.col("_base")).alias("loose"))
-
-
-def _trained(rows: list) -> tuple[tuple[float, list[boosting.Node]], float]:
-    """Trees and a calibrated cut from rows of (features, whether an exact pattern confirms the candidate).
-
-    Two thirds of the rows train; on the rest the cut is the lowest log-odds
-    above which at least 99% of the candidates are confirmed. Too few rows, or
-    none that reach this, give a cut that no candidate passes.
+    return df.select("doc_id", *bare, _described(F.col("_text"), F.col("_loose")).alias("loose"))
+
+
+def _example(rng: random.Random, kind: int, good: bool) -> str:
+    """A made-up text with one candidate of the kind: an item, or something that only looks like one."""
+    word = lambda a=2, b=9: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b)))
+    digits = lambda k, first="0123456789": rng.choice(first) + "".join(rng.choice("0123456789") for _ in range(k - 1))
+    cue, other = "", rng.choice(["order", "part no.", "item", "ref", "invoice", "serial", "version", "section", "page", "build", "SKU"])
+    cues = [["mail", "e-mail", "contact", "write to"], ["ip", "host", "server", "address"], ["card", "visa", "pay by", "credit"], ["phone", "tel", "call", "fax", "mobile"]]
+    said = rng.choice(cues[kind]) + rng.choice([" ", ": ", ":", " = "])
+    wrong = other + rng.choice([" ", ": ", " # "])
+    maybe = lambda: rng.choice(["", "", said])
+    if kind == 0:
+        user, host, top = rng.choice([word(), f"{word(1)}.{word(1)}", f"{word()}{digits(2)}", f"{word()}.{digits(2)}"]), rng.choice([word(), f"{word()}-{word()}", f"{word()}{digits(1)}"]), rng.choice("com org net edu de fr es io".split())
+        o, c = rng.choice(["[]", "()", "{}"])
+        if not good:
+            cue, word_ = rng.choice(["", "", "", wrong, said]), word(2, 7)
+            item = rng.choice([f"{word()} at {word()}.{word_.capitalize()}", f"{word()} at {word()}.{word_}", f"{word()} at {word()} dot {word_}y", f"{word()} at {word()}.{top}", f"{word()} {o}at{c} {word()}.{word_}y"])
+        else:
+            at, dot = rng.choice([(f" {o}at{c} ", f" {o}dot{c} "), (f"{o}at{c}", f"{o}dot{c}"), (f" {o}at{c} ", "."), (" at ", " dot "), ("@", f" {o}dot{c} "), ("@", " dot "), (f" {o}AT{c} ", f" {o}DOT{c} ")])
+            cue, item = maybe(), user + at + host + dot + (f"{word(2)}{dot}" if rng.random() < 0.3 else "") + top
+    elif kind == 1:
+        octets = [str(rng.randint(0, 255)) for _ in range(4)]
+        if good:
+            how = rng.choice(["[.]", "mixed", " . "])
+            cue = said if how == " . " else maybe()
+            item = f"{octets[0]}[.]" + ".".join(octets[1:]) if how == "mixed" else how.join(octets)
+        else:
+            how = rng.choice(["large", "spaced", "version"])
+            cue = wrong if how == "version" else maybe() if how == "large" else ""
+            if how == "large":
+                octets[rng.randrange(4)] = str(rng.randint(256, 999))
+            item = (rng.choice([".", "[.]", " . "]) if how == "large" else " . ").join(octets)
+    elif kind == 2:
+        d = rng.choice("3456") + digits(14) if good or rng.random() < 0.6 else rng.choice("01789") + digits(14)
+        last = next(c for c in "0123456789" if _checks(d + c))
+        if good:
+            cue = maybe()
+        elif d[0] in "3456":
+            if rng.random() < 0.7:
+                cue, last = rng.choice(["", said, wrong]), str((int(last) + rng.randint(1, 9)) % 10)
+            else:
+                cue = wrong
+        else:
+            cue = rng.choice(["", wrong])
+        d += last
+        item = rng.choice([".", "_", "/", "  ", " - ", " / ", ". "]).join(d[i : i + 4] for i in range(0, 16, 4))
+    else:
+        area, exchange, line = digits(3, "23456789"), digits(3, "23456789"), digits(4)
+        sep = rng.choice("-.")
+        plain, spaced, slashed = f"{area}{sep}{exchange}{sep}{line}", f"{area} {exchange} {line}", f"{area}/{exchange}/{line}"
+        if good:
+            any_area = digits(3)
+            # a following address or number makes the exact pattern run on and fail
+            after = " " + ".".join(digits(rng.randint(2, 3), "12") for _ in range(4))
+            country = rng.choice(["+1 ", f"+{digits(2, '23456789')} ", "+1-", "+1."])
+            cue, item = rng.choice(
+                [
+                    (maybe(), f"{country}({any_area}) {exchange}-{line}{after}"),
+                    (maybe(), f"{country}{any_area} {exchange} {line}{after}"),
+                    (maybe(), f"({any_area}) {exchange}-{line}"),
+                    (maybe(), f"00{digits(2, '123456789')} {any_area}-{exchange}-{line}"),
+                    (maybe(), plain),
+                    (said, spaced),
+                    (said, slashed),
+                ]
+            )
+        else:
+            low = f"{digits(3, '01')}{sep}{digits(3, '01')}{sep}{line}"
+            cue, item = rng.choice([(wrong, plain), (wrong, spaced), (wrong, slashed), ("", spaced), ("", slashed), ("", low), (word().upper(), plain)])
+    lead = " ".join(word() for _ in range(rng.randint(4, 9))) + rng.choice([" ", " ", ". ", ", ", "\n"])
+    return lead + cue + item + rng.choice(["", " ", ", ", "\n"]) + (word() if item[-1].isdigit() else "")
+
+
+def _checks(digits: str) -> bool:
+    values = [int(c) for c in reversed(digits)]
+    return (sum(values[::2]) + sum(2 * v - 9 * (v > 4) for v in values[1::2])) % 10 == 0
+
+
+#: (trees, cut) of each kind once they are fitted; they depend on the made-up examples alone.
+_MODELS: list[tuple[tuple[float, list[boosting.Node]], float]] = []
+
+
+def models(spark: SparkSession) -> list[tuple[tuple[float, list[boosting.Node]], float]]:
+    """Per kind the boosted trees and the calibrated cut, fitted on seeded made-up examples and never on the tables.
+
+    Two thirds of the examples train; on the rest the cut is the lowest
+    log-odds, but 0 at least, above which 99% are items. The features come from
+    :func:`candidates`, as those of any text do.
     """
-    x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), len(FEATURES))
-    y = np.array([r["same"] for r in rows], dtype=np.float64)
-    held = np.arange(len(rows)) % 3 == 0
-    if y[~held].sum() < 20 or (1 - y[~held]).sum() < 20 or y[held].sum() < 10:
-        return (-4.0, []), float("inf")
-    model = boosting.fit(x[~held], y[~held])
+    if not _MODELS:
+        rng = random.Random(4)
+        rows = [(k, good, _example(rng, k, good)) for k in range(len(KINDS)) for _ in range(EXAMPLES // 2) for good in (False, True)]
+        docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+        found = candidates(docs).select("doc_id", F.explode("loose").alias("c")).select("doc_id", "c.kind", "c.start", "c.x").collect()
+        found = sorted((r for r in found if r["kind"] == rows[r["doc_id"]][0]), key=lambda r: (r["doc_id"], r["start"]))
+        fitted = []
+        for k in range(len(KINDS)):
+            own = [r for r in found if r["kind"] == k]
+            x = np.array([r["x"] for r in own], dtype=np.float64)
+            y = np.array([rows[r["doc_id"]][1] for r in own], dtype=np.float64)
+            fitted.append(_trained(x, y))
+        _MODELS.extend(fitted)
+    return _MODELS
+
+
+def _trained(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, list[boosting.Node]], float]:
+    """Trees, and the cut that keeps 99% right on every third example."""
+    held = np.arange(len(y)) % 3 == 0
+    model = boosting.fit(x[~held], y[~held], depth=4)
     z, t = boosting.raw_scores(model, x[held]), y[held]
     order = np.argsort(-z, kind="stable")
     precision = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
     # a cut lies between different scores, or it would let in all that tie with it
     ends = np.r_[z[order][1:] < z[order][:-1], True]
     good = np.flatnonzero((precision >= 0.99) & ends & (np.arange(1, len(order) + 1) >= 10))
-    return model, float(z[order][good[-1]]) if len(good) else float("inf")
+    if not len(good):
+        raise ValueError("no cut keeps 99% right")
+    # halfway to the next lower score, so that rounding of a sum does not decide
+    z = z[order]
+    after = z[good[-1] + 1] if good[-1] + 1 < len(z) else z[good[-1]] - 1
+    return model, max(0.0, float((z[good[-1]] + after) / 2))
 
 
-def redactions(found: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def redactions(found: DataFrame) -> DataFrame:
     """``found`` (from :func:`candidates`, written to a table) with ``extra``: chosen spans beside the base ones.
 
-    The trees learn, from at most ``sample`` candidates (the first by a hash of
-    document and place), in which format and context candidates are confirmed
-    by the exact patterns, whose checks (digits that sum up, ranges) are not
-    among the features. Candidates of a document that overlap no base span and
-    score above the calibrated cut are added, of overlapping ones the first.
+    Candidates of a document that overlap no base span and score above their
+    kind's cut are added, of overlapping ones the first. A document's spans
+    depend on its text alone.
     """
-    seen = found.select("doc_id", F.explode("loose").alias("c")).select(
-        "c.x", "c.same", F.xxhash64("doc_id", "c.kind", "c.start").alias("h")
-    )
-    rows = seen.orderBy("h").limit(sample).collect()
-    model, cut = _trained(rows)
     base = F.concat(*KINDS)
-    if cut == float("inf"):
-        return found.withColumn("extra", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))
+    fitted = models(found.sparkSession)
 
     def passes(c: Column) -> Column:
-        return boosting.score_column(model, [F.get(c["x"], F.lit(i)) for i in range(len(FEATURES))]) >= F.lit(cut)
+        x = [F.get(c["x"], F.lit(i)) for i in range(len(FEATURES))]
+        out = F.lit(False)
+        for k, (model, cut) in enumerate(fitted):
+            out = F.when(c["kind"] == k, boosting.score_column(model, x) >= F.lit(cut)).otherwise(out)
+        return out
 
     chosen = F.filter(_apart(F.col("loose"), base), lambda c: passes(c))
     slim = F.array_sort(
@@ -225,13 +341,13 @@ def listed(spans: Column) -> Column:
     )
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans.
 
     Null and empty texts have no spans and the digest of the empty string.
     Repeated rows are treated alike; columns beside id and text are ignored.
     """
-    found = redactions(staged(candidates(docs, id_col, text_col), "pii-candidates"), sample)
+    found = redactions(staged(candidates(docs, id_col, text_col), "pii-candidates"))
     base = F.concat(*KINDS)
     return found.select(
         "doc_id",

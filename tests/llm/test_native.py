@@ -150,6 +150,41 @@ def test_boosting_adds_confirmed_formats_and_redacts(spark):
     assert text[7] == "x7 phone: [phone] end" and text[1007] == rows[307][1]
 
 
+ADDED = {
+    "reach john.smith [at] mail [dot] example [dot] com today": "email",
+    "write jane (at) site7 (dot) org": "email",
+    "or k.lee at corp dot net thanks": "email",
+    "call 555-234-5678 now": "phone",
+    "the desk (843) 555-7672 is open": "phone",
+    "phone: 555 234 5678 end": "phone",
+    "ère. Des +1 (826) 555-4081 190.137.223.204 du": "phone",
+    "un. +1 (843) 555-7672 170.106.47.218 Et": "phone",
+    "server 10[.]1[.]2[.]3 down": "ip",
+    "card 4111.1111.1111.1111 paid": "card",
+}
+NOT_ADDED = [
+    "we arrived at home.Then we slept", "order 555 234 5678 parts", "part no. 555-234-5678 in stock", "table 123 456 7890 sums",
+    "card 4111.1111.1111.1112 paid", "years 1998 / 1999 / 2000 / 2001 were", "version 1 . 2 . 3 . 4 is", "host 999[.]1[.]2[.]3",
+]
+
+
+def test_spans_beside_the_base_ones_depend_on_the_text_alone(spark):
+    texts = [*ADDED, *NOT_ADDED]
+    many = [(i, t) for i, t in enumerate(texts)] + [(100 + i, f"call 555-{234 + i}-5678, order 555 {300 + i} 1234") for i in range(400)]
+    whole, few = (
+        {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        for rows in (many, many[: len(texts)])
+    )
+    for i, t in enumerate(texts):
+        kinds = [x.split(":")[0] for x in whole[i].split(",") if x]
+        extra = Counter(kinds) - Counter(x.split(":")[0] for x in base(t))
+        assert extra == Counter([ADDED[t]] if t in ADDED else []), (t, whole[i])
+        assert few[i] == whole[i]
+    swallowed = next(t for t in ADDED if "4081" in t)
+    a = swallowed.index("+1")
+    assert f"phone:{a}:{a + 17}" in whole[texts.index(swallowed)].split(",")
+
+
 def test_empty_and_clashing(empty, clashing):
     for f in (exact_dedup.exact_dedup, exact_dedup.keep_largest, quality_rules.document_metrics, quality_rules.passing, mixing.mix, mixing.mixed_rows, pii.personal_data):
         assert f(empty).count() == 0
