@@ -731,6 +731,15 @@ def g1_components(spark, d):
     return graph.labelled(nodes, e)
 
 
+@query()
+def g1_order_parts(spark, d):
+    """Components over every line item. Orders get even nodes and parts odd ones; no SQL, whose recursion lists all pairs of a component."""
+    li = _t(spark, d, "lineitem").where("l_orderkey is not null and l_partkey is not null")
+    e = li.select((F.col("l_orderkey").cast("long") * 2).alias("u"), (F.col("l_partkey").cast("long") * 2 + 1).alias("v")).distinct()
+    nodes = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct()
+    return graph.labelled(nodes, e)
+
+
 @query(
     """WITH l AS (SELECT sha256(text) AS sha, lang AS taxon, source AS observer FROM documents), c AS (SELECT sha FROM l GROUP BY 1 HAVING count(DISTINCT taxon) > 1)
     SELECT DISTINCT sha, taxon, observer FROM l WHERE sha NOT IN (SELECT sha FROM c)"""

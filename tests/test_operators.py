@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import evaluation, graph, relational, similarity, splits
+from millrace.plans import catalog
 
 
 def test_hamming_pairs_equal_brute_force(spark):
@@ -26,6 +27,27 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
+def test_components_of_all_line_items_equal_union_find(spark, tmp_path):
+    rng = random.Random(5)
+    # keys that agree modulo 500 or 700, orders and parts of the same number, and all quantities and discounts
+    items = [(o + 500 * rng.randrange(5), p + 700 * rng.randrange(5), q, q / 100) for o in range(1, 13) for p in rng.sample(range(1, 40), 1) for q in (1, 5)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_quantity long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for o, p, *_ in items:
+        a, b = sorted((find(2 * o), find(2 * p + 1)))
+        parent[b] = a
+    want = {x: find(x) for x in parent}
+    assert len(set(want.values())) > 3
+    got = catalog.QUERIES["g1_order_parts"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+
+
 def test_merged_ids_resolve_and_cycles_raise(spark):
     r = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3)], "id long, merged_into long")
     assert dict(relational.resolve_merged(r).collect()) == {1: 1, 2: 1, 3: 1, 4: 1}
