@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.storage import staged
+from millrace.storage import release, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
     seen = None
     while True:
-        edges = staged(_star(_star(edges, True), False), "cc")
+        before, edges = edges, staged(_star(_star(edges, True), False), "cc")
+        release(before)
         # summed modulo a prime far below 2**63 / rows, so the sum cannot overflow
         now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1_000_003)))).first()
         if now == seen:

@@ -48,4 +48,16 @@ def staged(df: DataFrame, name: str = "stage", *, codec: str = "zstd") -> DataFr
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`staged` wrote and that nothing will read again."""
+    for table in tables:
+        path = table.__dict__.pop("_staged_at", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
