@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.llm import ngram_join, packing, quality_ranking, sharding, substrings, suffix_array, toxicity
-from millrace.llm.rtree import CountTree
 
 from .conftest import SCHEMA, U
 from .test_native import WORD
@@ -113,17 +112,6 @@ def test_large_families_and_frequent_values(spark):
     assert got == brute_groups(rows)
 
 
-def test_tree_finds_all_pairs_that_the_bound_allows():
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 5, (40, 16))
-    counts = np.maximum(base[rng.integers(0, 40, 700)] + rng.integers(-1, 2, (700, 16)), 0)
-    n = counts.sum(1)
-    got = {(min(i, j), max(i, j)) for a, b in CountTree(counts, n).pairs(3, 4, np.arange(700)) for i, j in zip(a, b)}
-    bound = np.minimum(counts[:, None], counts[None]).sum(2)
-    i, j = np.nonzero(np.triu((7 * bound >= 3 * (n[:, None] + n[None])) & (4 * np.minimum(n[:, None], n[None]) >= 3 * np.maximum(n[:, None], n[None])), 1))
-    assert got == set(zip(i, j))
-
-
 def test_packing(docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
