@@ -171,3 +171,8 @@ def tier(images: Column, groups: Column, genus_images: Column, genus_groups: Col
         .when((family_images >= 60) & (family_groups >= 30), "family")
         .otherwise("dropped")
     )
+
+
+def human(n: Column) -> Column:
+    """A number with a unit: 950, 1.2k, 3.4M."""
+    return F.when(n >= 1e6, F.format_string("%.1fM", n / 1e6)).when(n >= 1e3, F.format_string("%.1fk", n / 1e3)).otherwise(F.format_string("%.0f", n))

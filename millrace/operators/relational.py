@@ -26,6 +26,36 @@ def anti_append(new: DataFrame, existing: DataFrame, keys: Sequence[str], order:
     return first_per_key(new, keys, order).join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def not_in(left: DataFrame, column: str, right: DataFrame, other: str) -> DataFrame:
+    """``column NOT IN (SELECT other ...)`` with SQL's nulls: a null on the right rules out every row.
+
+    Only two numbers of the right side reach the driver. An empty right side
+    keeps all rows; else a null on the left is never kept.
+    """
+    n, nulls = right.agg(F.count(F.lit(1)), F.count_if(F.col(other).isNull())).first()
+    if nulls:
+        return left.where(F.lit(False))
+    keys = right.select(F.col(other).alias("_other")).distinct()
+    kept = left.join(keys, left[column] == keys["_other"], "left_anti")
+    return kept.where(F.col(column).isNotNull()) if n else kept
+
+
+def latest_rule(facts: DataFrame, rules: DataFrame, ladder: Sequence[str], kind: str = "kind") -> DataFrame:
+    """:func:`ladder_matches` with a last step that fits all: rules of the rank ``universal``."""
+    every = facts.withColumn("universal", F.lit("*"))
+    return ladder_matches(every, rules, [*ladder, "universal"], kind).drop("universal")
+
+
+def currently_valid(on: Column, valid_from: Column, valid_until: Column) -> Column:
+    """Whether ``on`` lies in the closed interval; an open end lasts."""
+    return (valid_from <= on) & (valid_until.isNull() | (on <= valid_until))
+
+
+def staleness_days(on: Column, checked: Column, unknown: int = 10_000) -> Column:
+    """Days since a date given as text; ``unknown`` where it cannot be read."""
+    return F.coalesce(F.datediff(on, F.try_to_date(checked, "yyyy-MM-dd")), F.lit(unknown))
+
+
 def replace_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Insert-or-replace: rows of ``new``, and those of ``old`` whose key it lacks."""
     return new.unionByName(old.join(new.select(*keys).distinct(), list(keys), "left_anti"))

@@ -180,8 +180,7 @@ def j6_double_anti(spark, d):
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def j8_not_in(spark, d):
-    p, li = _t(spark, d, "part"), _t(spark, d, "lineitem").where("l_quantity > 49 and l_partkey is not null")
-    return p.join(li, p["p_partkey"] == li["l_partkey"], "left_anti").select("p_partkey")
+    return R.not_in(_t(spark, d, "part"), "p_partkey", _t(spark, d, "lineitem").where("l_quantity > 49"), "l_partkey").select("p_partkey")
 
 
 @query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -802,33 +801,6 @@ def g19_yield_grid(spark, d):
     return per.select(F.explode(cells).alias("g")).groupBy("g.q", "g.cap").agg(F.sum("g.y").alias("yield"))
 
 
-@query("SELECT c_custkey, upper(c_mktsegment) AS c_mktsegment, c_acctbal FROM customer")
-def k3_replace(spark, d):
-    return _t(spark, d, "customer").withColumn("c_mktsegment", F.upper("c_mktsegment")).select("c_custkey", "c_mktsegment", "c_acctbal")
-
-
-@query("SELECT l_orderkey, min(l_partkey) AS part FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
-def k4_idempotent_append(spark, d):
-    old = _t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    new = R.anti_append(_t(spark, d, "lineitem"), old, ["l_orderkey"], [F.col("l_partkey")])
-    return new.select("l_orderkey", F.col("l_partkey").alias("part"))
-
-
-@query(
-    """SELECT c_custkey, 9.0::DOUBLE AS c_acctbal FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 7 <> 0"""
-)
-def k8_replace_by_key(spark, d):
-    c = _t(spark, d, "customer").select("c_custkey", "c_acctbal")
-    return R.replace_by_key(c, c.where("c_custkey % 7 = 0").withColumn("c_acctbal", F.lit(9.0)), ["c_custkey"])
-
-
-@query("SELECT c_custkey, CASE WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 'idle' ELSE c_mktsegment END AS segment FROM customer")
-def k11_conditional_update(spark, d):
-    c, o = _t(spark, d, "customer"), _t(spark, d, "orders").select("o_custkey").distinct()
-    j = c.join(o, c["c_custkey"] == o["o_custkey"], "left")
-    return j.select("c_custkey", F.when(F.col("o_custkey").isNull(), "idle").otherwise(F.col("c_mktsegment")).alias("segment"))
-
-
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def z1_incremental(spark, d):
     """The window query of the stream, over the whole table at once."""

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from millrace.operators.relational import anti_append
+from millrace.sources.tables import Files
 
 
 def sorted_parquet(df: DataFrame, path: str, order: list[Column | str], mode: str = "error") -> None:
@@ -47,6 +47,4 @@ def report(rows: DataFrame, path: str, most: int = 10_000) -> None:
     got = [r.asDict(recursive=True) for r in rows.limit(most + 1).collect()]
     if len(got) > most:
         raise ValueError("a report is a small result")
-    with open(path + ".tmp", "w") as f:
-        json.dump(got, f, default=str, indent=1)
-    os.replace(path + ".tmp", path)
+    Files(rows.sparkSession, path).write(path, json.dumps(got, default=str, indent=1), replace=True)
