@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.text import ascii_lower
+from millrace.storage import staged
 
 SALTS = 256
 
@@ -80,15 +81,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_largest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """One row of each group of equal texts, that of the largest id, with all its columns.
 
     Rows are matched by id and digest, so a repeated id with another text is
-    judged on its own. Rows that repeat both id and text all stay.
+    judged on its own. Of rows that repeat both, the one with the least hash
+    of the whole row stays; where all else is equal, any one of them.
     """
-    kept = (
+    norm = ascii_lower(F.coalesce(docs[text_col], F.lit("")))
+    # whole rows travel in one column, so no name among theirs can clash
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.sha2(norm, 256).alias("_sha"))
+    groups = (
         exact_dedup(docs, id_col, text_col, salts)
         .where("kept")
-        .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+        .groupBy(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha"))
+        .agg(F.count(F.lit(1)).alias("_times"))
     )
-    sha = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]) & (sha == kept["_sha"]), "left_semi")
+    groups = staged(groups, "dedup-kept")
+    same = F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_sha") == F.col("_ksha"))
+    once = held.join(groups.where("_times = 1"), same, "left_semi").select("_row")
+    twice = groups.where("_times > 1")
+    if not twice.isEmpty():
+        plain = [F.col("_row").getField(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+        again = held.join(twice, same, "left_semi").groupBy("_id", "_sha").agg(F.min_by("_row", F.xxhash64(*plain)).alias("_row"))
+        once = once.unionByName(again.select("_row"))
+    return once.select("_row.*")

@@ -12,17 +12,19 @@ from millrace.llm import boosting
 from millrace.storage import staged
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Base patterns. A card run is taken with its bounds, so that only runs of 13 to 19 digits match at all.
+#: Base patterns. A card run is taken with its bounds, so that only runs of 13 to 19 digits match at all. E-mails and
+#: addresses begin where a run of their first characters does, or where the match before ended in it: any other start
+#: in the run has the same continuation. Possessive repeats neither go back nor recurse, so long runs take linear time.
 BASE = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: High-recall generators: what might be an item of each kind in another format.
 LOOSE = {
     "email": r"[A-Za-z0-9._%+-]{2,40}(?:@|[\x20]?[\[({](?:at|AT)[\])}][\x20]?|[\x20]at[\x20])[A-Za-z0-9-]{2,40}"
-    r"(?:(?:\.|[\x20]?[\[({](?:dot|DOT)[\])}][\x20]?|[\x20]dot[\x20])[A-Za-z]{2,10})+",
+    r"(?:(?:\.|[\x20]?[\[({](?:dot|DOT)[\])}][\x20]?|[\x20]dot[\x20])[A-Za-z]{2,10})++",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]|[\x20]\.[\x20])[0-9]{1,3}){3}(?![0-9.])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,3}[0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+])(?:(?:00|\+)[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20./-]{1,2}[0-9]{3}[\x20./-][0-9]{4}(?![0-9])",
@@ -52,20 +54,41 @@ FEATURES = ["length", "digits", "letters", "dots", "ats", "spaces", "separators"
 #: Made-up examples of each kind that the trees are fitted on, half of them items.
 EXAMPLES = 1_200
 CONTEXT = 24
+#: Matches whose places are summed up together.
+GROUP = 64
 
 _SPAN = "array<struct<kind:int,start:bigint,end:bigint,item:string>>"
 
 
+def _once(column: Column) -> Column:
+    """The column, in a form that Catalyst neither copies to where it is used nor merges into later projections.
+
+    It would be evaluated once for each mention, inside a lambda once for each
+    element, and the plan would grow with the power of the steps.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
+def _groups(name: str) -> Column:
+    """The array column ``name`` in pieces of ``GROUP``.
+
+    Appending to an array copies what is there, so long arrays are built piece
+    by piece.
+    """
+    n = F.size(name)
+    firsts = F.filter(F.sequence(F.lit(0), n), lambda i: (i % GROUP == 0) & (i < n))
+    return F.transform(firsts, lambda i: F.slice(F.col(name), i + 1, F.lit(GROUP)))
+
+
 def _found(df: DataFrame, name: str, kind: str, pattern: str, needs: str) -> DataFrame:
     """Adds the array ``name`` of (kind, start, end, item) of a pattern's matches; places in code points.
 
     The pieces between the matches and the matches themselves alternate, so
-    running sums of their lengths are the places. Both are columns of their
-    own, since an expression that is mentioned twice would be evaluated twice.
+    running sums of their lengths are the places.
     """
     text, empty = F.col("_text"), F.array().cast("array<string>")
     df = df.withColumn(
-        "_items", F.when(text.rlike(needs), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(empty)
+        "_items", _once(F.when(text.rlike(needs), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(empty))
     )
     df = df.withColumn("_gaps", F.when(F.size("_items") > 0, F.split(text, pattern, -1)).otherwise(empty))
     items, gaps = F.col("_items"), F.col("_gaps")
@@ -79,8 +102,19 @@ def _found(df: DataFrame, name: str, kind: str, pattern: str, needs: str) -> Dat
         span = F.struct(k.alias("kind"), start.alias("start"), end.alias("end"), p["item"].alias("item"))
         return F.struct(F.array_append(acc["spans"], span).alias("spans"), end.alias("at"))
 
-    start = F.struct(none.alias("spans"), F.lit(0).cast("bigint").alias("at"))
-    return df.withColumn(name, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).drop("_items", "_gaps")
+    long = lambda x: F.lit(x).cast("bigint")
+    lengths = F.transform("_groups", lambda g: F.aggregate(g, long(0), lambda a, p: a + F.char_length(p["gap"]) + F.char_length(p["item"])))
+    begins = F.aggregate(
+        lengths,
+        F.struct(F.array().cast("array<bigint>").alias("all"), long(0).alias("at")),
+        lambda acc, n: F.struct(F.array_append(acc["all"], acc["at"]).alias("all"), (acc["at"] + n).alias("at")),
+        lambda acc: acc["all"],
+    )
+    df = df.withColumn("_pairs", _once(pairs)).withColumn("_groups", _once(_groups("_pairs"))).withColumn("_begins", begins)
+    found = F.zip_with(
+        "_groups", "_begins", lambda g, b: F.aggregate(g, F.struct(none.alias("spans"), b.alias("at")), step, lambda acc: acc["spans"])
+    )
+    return df.withColumn(name, _once(F.flatten(found))).drop("_items", "_gaps", "_pairs", "_groups", "_begins")
 
 
 def _digits(item: Column) -> Column:
@@ -126,12 +160,13 @@ def _plausible(kind: Column, item: Column) -> Column:
     )
 
 
-def _described(text: Column, spans: Column) -> Column:
-    """Candidates with the features the trees read."""
+def _described(wide: Column, spans: Column) -> Column:
+    """Candidates with the features the trees read; ``wide`` is the text in UTF-32, where a place is found at once."""
 
     def describe(s: Column) -> Column:
         item = s["item"]
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(CONTEXT)).cast("int"))
+        first = 4 * F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1
+        before = F.decode(F.substring(wide, first.cast("int"), (4 * F.least(s["start"], F.lit(CONTEXT))).cast("int")), "UTF-32")
         cue = F.lit(False)
         for i, k in enumerate(KINDS):
             cue = cue | ((s["kind"] == i) & before.rlike(CUES[k]))
@@ -164,15 +199,28 @@ def _described(text: Column, spans: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row its id, the base spans of each kind, and the loose candidates with features. One pass over the texts."""
+    """Per row its id, the base spans of each kind, and the other, loose candidates with features. One pass over the texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
     df = with_base_spans(df)
     for k in KINDS:
         df = _found(df, f"_loose_{k}", k, LOOSE[k], MAY[k])
-    df = df.withColumn("_loose", F.concat(*[f"_loose_{k}" for k in KINDS]))
+    # most are base spans themselves: those go by hashing, before any is described or compared with all
+    coded = lambda spans: F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"], s["item"]))
+    others = F.array_except(coded(F.concat(*[f"_loose_{k}" for k in KINDS])), coded(F.concat(*KINDS)))
+    df = df.withColumn("_parts", _once(F.transform(others, lambda x: F.split(x, ":", 4))))
+    df = df.withColumn(
+        "_loose",
+        _once(
+            F.transform(
+                "_parts",
+                lambda p: F.struct(p[0].cast("int").alias("kind"), p[1].cast("bigint").alias("start"), p[2].cast("bigint").alias("end"), p[3].alias("item")),
+            )
+        ),
+    )
+    df = df.withColumn("_wide", _once(F.when(F.size("_parts") > 0, F.encode("_text", "UTF-32"))))
     bare = [F.transform(k, lambda s: s.dropFields("item")).alias(k) for k in KINDS]
-    return df.select("doc_id", *bare, _described(F.col("_text"), F.col("_loose")).alias("loose"))
+    return df.select("doc_id", *bare, F.when(F.size("_loose") == 0, F.lit(None)).otherwise(_described(F.col("_wide"), F.col("_loose"))).alias("loose"))
 
 
 def _example(rng: random.Random, kind: int, good: bool) -> str:
@@ -303,7 +351,6 @@ def redactions(found: DataFrame) -> DataFrame:
     kind's cut are added, of overlapping ones the first. A document's spans
     depend on its text alone.
     """
-    base = F.concat(*KINDS)
     fitted = models(found.sparkSession)
 
     def passes(c: Column) -> Column:
@@ -313,20 +360,27 @@ def redactions(found: DataFrame) -> DataFrame:
             out = F.when(c["kind"] == k, boosting.score_column(model, x) >= F.lit(cut)).otherwise(out)
         return out
 
-    chosen = F.filter(_apart(F.col("loose"), base), lambda c: passes(c))
+    span = "array<struct<kind:int,start:bigint,end:bigint>>"
+    none = F.array().cast(span)
+    found = found.withColumn("_base", _once(F.concat(*KINDS)))
+    free = F.when(F.size("_base") == 0, F.col("loose")).otherwise(_apart(F.col("loose"), F.col("_base")))
     slim = F.array_sort(
-        F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
+        F.transform(F.filter(free, passes), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
     )
+    found = found.withColumn("_slim", _once(F.coalesce(slim, F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>"))))
 
     def step(acc: Column, c: Column) -> Column:
         span = F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
         kept = F.struct(F.array_append(acc["spans"], span).alias("spans"), c["end"].alias("at"))
         return F.when(c["start"] >= acc["at"], kept).otherwise(acc)
 
-    start = F.struct(
-        F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>").alias("spans"), F.lit(0).cast("bigint").alias("at")
-    )
-    return found.withColumn("_slim", slim).withColumn("extra", F.aggregate("_slim", start, step, lambda a: a["spans"])).drop("_slim")
+    def group(acc: Column, g: Column) -> Column:
+        got = F.aggregate(g, F.struct(none.alias("spans"), acc["at"].alias("at")), step)
+        return F.transform(F.array(got), lambda x: F.struct(F.array_append(acc["all"], x["spans"]).alias("all"), x["at"].alias("at")))[0]
+
+    start = F.struct(F.array().cast(f"array<{span}>").alias("all"), F.lit(0).cast("bigint").alias("at"))
+    extra = F.flatten(F.aggregate(_groups("_slim"), start, group, lambda a: a["all"]))
+    return found.withColumn("extra", extra).drop("_slim", "_base")
 
 
 def listed(spans: Column) -> Column:
@@ -345,7 +399,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans.
 
     Null and empty texts have no spans and the digest of the empty string.
-    Repeated rows are treated alike; columns beside id and text are ignored.
+    Repeated rows are treated alike; columns beside id and text are ignored,
+    whatever their names. Texts are searched whole; the patterns take linear
+    time on long runs.
     """
     found = redactions(staged(candidates(docs, id_col, text_col), "pii-candidates"))
     base = F.concat(*KINDS)

@@ -1,7 +1,9 @@
 """Exact dedup, quality rules, mixing and personal data against plain Python."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -32,6 +34,7 @@ def test_exact_dedup_of_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "A"), (None, "b")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).collect())
     assert got == [(-1, -1, 1, True), (-1, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True)]
+    assert sorted((r.doc_id or -1, r.text) for r in exact_dedup.keep_largest(df).collect()) == [(-1, "b"), (1, "a")]
 
 
 def counts(t):
@@ -185,6 +188,39 @@ def test_spans_beside_the_base_ones_depend_on_the_text_alone(spark):
     assert f"phone:{a}:{a + 17}" in whole[texts.index(swallowed)].split(",")
 
 
+def test_long_runs_take_linear_time(spark):
+    """Texts of a megabyte that made patterns go back, start again at each character, or recurse."""
+    m = 1_000_000
+    made = [
+        ("mail a@b" + ".cc" * 300_000, ["email:5:900008"]),
+        ("x" * m + "@example.com", [f"email:0:{m + 12}"]),
+        ("x" * m + " @", []),
+        ("7" * m, []),
+        ("1." * 400_000, [f"ip:{k}:{k + 7}" for k in range(0, 800_000, 8)]),
+        ("4 " * 500_000, []),
+        ("+1" + "(" * m, []),
+        ("+1 " * 300_000, []),
+        ("a@b.co " * 20_000, [f"email:{7 * k}:{7 * k + 6}" for k in range(20_000)]),
+        ("a at b dot cc " * 20_000, []),
+    ]
+    texts, want = zip(*made)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    pii.personal_data(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
+    began = time.time()
+    for r in pii.personal_data(df).collect():
+        assert r.base_sha256 == hashlib.sha256(",".join(want[r.doc_id]).encode()).hexdigest(), r.doc_id
+    assert time.time() - began < 60
+
+
+def test_base_patterns_on_random_texts(spark):
+    rng = random.Random(5)
+    pools = ["ab.@-%c", "0129.", "0 1-23 ", "+1 ().-23", "a@b.c%d+1 .9", "4 11-.+@x[]"]
+    texts = ["".join(rng.choice(p) for _ in range(rng.randint(0, 80))) for p in pools for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.personal_data(df).collect():
+        assert r.base_sha256 == hashlib.sha256(",".join(base(texts[r.doc_id])).encode()).hexdigest(), texts[r.doc_id]
+
+
 def test_empty_and_clashing(empty, clashing):
     for f in (exact_dedup.exact_dedup, exact_dedup.keep_largest, quality_rules.document_metrics, quality_rules.passing, mixing.mix, mixing.mixed_rows, pii.personal_data):
         assert f(empty).count() == 0
