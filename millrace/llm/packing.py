@@ -125,94 +125,90 @@ def tokenized_pieces(
     )
 
 
-def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """The shortest of the plans that look up complements of one, two or three lengths.
-
-    Triples close more gaps exactly but use up short lengths that would have
-    filled the rest; which weighs more depends on the lengths.
-    """
-    plans = [_plan(counts, capacity, depth) for depth in (1, 2, 3)]
-    return min(plans, key=lambda p: sum(m for _, m in p))
+def sum_index(lengths: np.ndarray, many: int, most: int) -> dict[int, np.ndarray]:
+    """Sums up to ``most`` of ``many`` of the lengths (each usable again), to the combinations, largest members first."""
+    n = np.sort(lengths)[::-1]
+    at = np.arange(len(n))[:, None]
+    for _ in range(many - 1):
+        more = np.repeat(at, len(n), axis=0), np.tile(np.arange(len(n)), len(at))
+        ok = more[1] >= more[0][:, -1]
+        at = np.column_stack([more[0][ok], more[1][ok]])
+    rows = n[at]
+    total = rows.sum(axis=1)
+    rows, total = rows[total <= most], total[total <= most]
+    order = np.argsort(total, kind="stable")
+    rows, total = rows[order], total[order]
+    edge = np.flatnonzero(np.r_[True, total[1:] != total[:-1]]) if len(total) else np.zeros(0, int)
+    return {int(total[x]): rows[x:y] for x, y in zip(edge, np.r_[edge[1:], len(total)])}
 
 
-def _plan(counts: dict[int, int], capacity: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
+def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths with the number of sequences each fills.
 
     Works on the histogram alone (at most ``capacity`` lengths), so its cost
-    does not depend on the number of pieces. Longest first: a length's gap is
-    looked up among single lengths, then pair and triple sums as ``depth`` allows, each
-    with its largest member as large as possible; as many sequences are made
-    at once as the counts allow. What has no exact filling is placed best-fit,
-    longest first, into the open sequence with the smallest sufficient gap.
+    does not depend on the number of pieces. (1) A length meets its exact
+    complement, as often as both last. (2) Other lengths above ``capacity //
+    8`` open sequences, longest first, or go best-fit into an open one. (3) The
+    gaps are looked up, smallest first, in indexes of the single, pair and
+    triple sums of the lengths that are left: a combination that fills a gap
+    exactly is consumed as often as gaps and counts last. Counts only shrink,
+    so a combination that is used up is never looked at again. (4) What is
+    left goes best-fit, longest first.
     """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for n, c in counts.items():
         left[n] += c
-    plan: list[tuple[tuple[int, ...], int]] = []
+    done: list[tuple[tuple[int, ...], int]] = []
     if left[capacity]:
-        plan.append(((capacity,), int(left[capacity])))
+        done.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-
-    def take(pattern: tuple[int, ...]) -> bool:
-        need = np.bincount(pattern, minlength=capacity + 1)
-        at = np.flatnonzero(need)
-        m = int((left[at] // need[at]).min())
+    for a in range(capacity - 1, (capacity - 1) // 2, -1):
+        b = capacity - a
+        m = int(left[a] // 2 if a == b else min(left[a], left[b]))
         if m:
-            plan.append((tuple(sorted(pattern, reverse=True)), m))
-            left[at] -= m * need[at]
-        return m > 0
-
-    def pair(gap: int, most: int) -> tuple[int, int] | None:
-        """Lengths b >= c with b + c == gap, b at most ``most`` and as large as possible."""
-        b = np.arange(min(gap - 1, most), (gap + 1) // 2 - 1, -1)
-        if not len(b):
-            return None
-        good = (left[b] > 0) & (left[gap - b] > 0) & ((b != gap - b) | (left[b] > 1))
-        k = int(good.argmax())
-        return (int(b[k]), int(gap - b[k])) if good[k] else None
-
-    def triple(gap: int, most: int) -> tuple[int, int, int] | None:
-        for b in range(min(gap - 2, most), (gap + 2) // 3 - 1, -1):
-            if left[b] > 0:
-                left[b] -= 1
-                rest = pair(gap - b, b)
-                left[b] += 1
-                if rest:
-                    return (b, *rest)
-        return None
-
-    for a in range(capacity - 1, 0, -1):
-        gap, stuck = capacity - a, False
-        while left[a] and not stuck:
-            left[a] -= 1
-            found: tuple[int, ...] | None = (gap,) if left[gap] else None
-            if not found and depth > 1:
-                found = pair(gap, min(gap, a))
-            if not found and depth > 2:
-                found = triple(gap, min(gap, a))
-            left[a] += 1
-            stuck = found is None or not take((a, *found))
-    # best fit: open[g] holds patterns with gap g
-    open_: list[list[list]] = [[] for _ in range(capacity + 1)]
-    for a in range(capacity - 1, 0, -1):
-        while left[a]:
-            g = next((g for g in range(a, capacity) if open_[g]), None)
-            if g is None:
-                fits = capacity // a
-                n, more = divmod(int(left[a]), fits)
-                for times, m in ((fits, n), (more, 1)):
-                    if times and m:
-                        open_[capacity - times * a].append([(a,) * times, m])
-                left[a] = 0
-                continue
-            pattern, m = open_[g].pop()
-            used = int(min(m, left[a]))
-            if m > used:
-                open_[g].append([pattern, m - used])
-            open_[g - a].append([(*pattern, a), used])
-            left[a] -= used
-    plan += [(tuple(p), int(m)) for group in open_ for p, m in group]
-    return plan
+            done.append(((a, b), m))
+            left[a] -= m
+            left[b] -= m
+    open_: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]  # (pattern, number) by gap
+
+    def best_fit(longest: int, least: int) -> None:
+        for a in range(longest, least - 1, -1):
+            while left[a]:
+                g = next((g for g in range(a, capacity) if open_[g]), None)
+                if g is None:
+                    many, more = divmod(int(left[a]), capacity // a)
+                    for times, m in ((capacity // a, many), (more, 1)):
+                        if times and m:
+                            open_[capacity - times * a].append(((a,) * times, m))
+                    left[a] = 0
+                    continue
+                pattern, m = open_[g].pop()
+                used = int(min(m, left[a]))
+                if m > used:
+                    open_[g].append((pattern, m - used))
+                open_[g - a].append(((*pattern, a), used))
+                left[a] -= used
+
+    short = capacity // 8
+    best_fit(capacity - 1, short + 1)
+    lengths = np.flatnonzero(left[: short + 1])
+    for many in (1, 2, 3):
+        index = sum_index(lengths, many, capacity - 1)
+        for g in range(1, capacity):
+            for rows in index.get(g, ()) if open_[g] else ():
+                need = np.bincount(rows, minlength=capacity + 1)
+                at = np.flatnonzero(need)
+                while open_[g] and (m := int((left[at] // need[at]).min())) > 0:
+                    pattern, held = open_[g].pop()
+                    used = min(m, held)
+                    if held > used:
+                        open_[g].append((pattern, held - used))
+                    done.append(((*pattern, *rows.tolist()), used))
+                    left[at] -= used * need[at]
+                if not open_[g]:
+                    break
+    best_fit(short, 1)
+    return done + [(pattern, m) for group in open_ for pattern, m in group]
 
 
 def _ranges(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
