@@ -150,8 +150,9 @@ def external_shuffle(
     Pass two holds one bucket at a time and permutes it. Rows are first sorted
     by bucket, id and text hash, so the order is a function of the rows and
     the seed; rows equal in both are interchangeable. Null ids share a shard
-    and are spread over its buckets by their texts; null and empty texts, empty
-    tables and further columns pass through.
+    and are spread over its buckets by their texts; null, empty and very long
+    texts, empty tables and further columns pass through. Columns of ``docs``
+    with the names of the four added ones are replaced by them.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64)).first()[0] or 0
@@ -159,22 +160,17 @@ def external_shuffle(
     n_buckets = n_shards * per_shard
     key = F.col(id_col)
     spread = F.xxhash64(key, F.col(text_col), F.lit(seed + 1))
-    where = (
-        docs.withColumn("_s", shard_columns(key, n_shards, seed))
-        .withColumn("_h", spread)
-        .withColumn(
-            "_bucket",
-            (F.col("_s.shard").cast("long") * per_shard + F.pmod(F.col("_h"), F.lit(per_shard))).cast("long"),
-        )
-    )
-    flat = where.select(
-        *docs.columns, F.col("_s.shard").alias("shard"), F.col("_s.grown_shard").alias("grown_shard"), "_h", "_bucket"
-    )
+    # whole rows travel in one column, so no name among theirs can clash
+    where = docs.select(F.struct(*docs.columns).alias("_row"), shard_columns(key, n_shards, seed).alias("_s"), spread.alias("_h"), key.alias("_key"))
+    bucket = F.col("_s.shard").cast("long") * per_shard + F.pmod(F.col("_h"), F.lit(per_shard))
+    flat = where.select("_row", F.col("_s.shard").alias("shard"), F.col("_s.grown_shard").alias("grown_shard"), "_h", "_key", bucket.cast("long").alias("_bucket"))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = flat.repartition(max(1, min(n_buckets, max(least, total // (2 * bucket_bytes)))), "_bucket")
-    ordered = dealt.sortWithinPartitions("_bucket", "_h", id_col)
+    ordered = dealt.sortWithinPartitions("_bucket", "_h", "_key")
     schema = T.StructType([*ordered.schema.fields, T.StructField("_pos", T.LongType())])
-    return ordered.mapInArrow(_shuffler(seed, split_bytes), schema).drop("_h")
+    placed = ordered.mapInArrow(_shuffler(seed, split_bytes), schema)
+    added = ["shard", "grown_shard", "_bucket", "_pos"]
+    return placed.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in added], *added)
 
 
 def with_slots(shuffled: DataFrame, *keep: str) -> DataFrame:
