@@ -27,3 +27,14 @@ def training_labels(labels: DataFrame, column: str, per_class: int = PER_CLASS,
     return known.where("label = 1").orderBy(order, "doc_id").limit(per_class).unionByName(
         known.where("label = 0").orderBy(order, "doc_id").limit(per_class)
     )
+
+
+def taught_rows(docs: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``label`` of one row of ``docs`` for each chosen id, so that no more rows than ids come out.
+
+    Of rows that repeat an id, the one with the least hash of its columns is
+    taken. ``chosen`` is bounded (see :func:`training_labels`) and broadcast.
+    """
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct(*columns, "label"), F.xxhash64(*columns)).alias("r"))
+    return one.select("r.*")

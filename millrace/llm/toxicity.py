@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.labels import PER_CLASS, training_labels
+from millrace.llm.labels import PER_CLASS, taught_rows, training_labels
 from millrace.llm.shingles import text_bytes, word_hashes
 from millrace.llm.text import fold_of
+from millrace.storage import release, staged
 
 #: log2 of the number of hashed terms; terms the machine weighs, at most; factors of each term.
 BITS, TERMS, RANK = 20, 4096, 4
@@ -40,11 +42,43 @@ def _terms(texts: pa.Array, active: np.ndarray | None = None) -> tuple[np.ndarra
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to their terms, with the values as bytes and a digest of both."""
     for b in batches:
         row, term, value = _terms(b.column("text"))
-        edges = pa.array(np.searchsorted(row, np.arange(len(b) + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (term.astype(np.int32), value.astype(np.float32))]
-        yield pa.RecordBatch.from_arrays([b.column("label"), *lists], names=["label", "terms", "weights"])
+        edge = np.searchsorted(row, np.arange(len(b) + 1))
+        term, value = term.astype(np.int32), value.astype(np.float32)
+        parts = [(term[a:z], value[a:z].tobytes()) for a, z in zip(edge, edge[1:])]
+        digests = [hashlib.blake2b(t.tobytes() + v, digest_size=16).digest() for t, v in parts]
+        lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(term))
+        yield pa.RecordBatch.from_arrays(
+            [b.column("label"), pa.array(digests, pa.binary()), lists, pa.array([v for _, v in parts], pa.binary())],
+            names=["label", "digest", "terms", "weights"],
+        )
+
+
+def _only(terms: np.ndarray):
+    """Rows of :func:`_sampled` with nothing but the chosen ``terms``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, v in zip(b.column("terms"), b.column("weights").to_pylist()):
+                t, v = np.asarray(t.values), np.frombuffer(v, np.float32)
+                keep = np.isin(t, terms)
+                out.append((t[keep].tobytes(), v[keep].tobytes()))
+            cols = [pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("digest"), *cols], names=["label", "digest", "terms", "weights"])
+
+    return run
+
+
+def choose_terms(df1: np.ndarray, df0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The ``TERMS`` terms at most whose rates differ most between the classes, from the texts of each that have them."""
+    p = (df1 + df0) / (n1 + n0)
+    z = np.abs(df1 / n1 - df0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    z[df1 + df0 < 8] = 0
+    terms = np.sort(np.argsort(-z, kind="stable")[:TERMS])
+    return terms[z[terms] > 6]
 
 
 class FactorizationMachine:
@@ -75,23 +109,19 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
-    def fit(cls, sets: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, share: float = 0.5, seed: int = 0, epochs: int = 300) -> "FactorizationMachine":
+    def fit(cls, sets: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, share: float = 0.5, seed: int = 0, epochs: int = 300, terms: np.ndarray | None = None) -> "FactorizationMachine":
         """Fits on term sets by Adam, the classes weighed as ``share`` of label 1 and the rest.
 
-        Terms are those whose rates differ most between the classes.
+        ``terms`` are chosen by :func:`choose_terms` where they are not given.
         """
         n1, n0 = int((label == 1).sum()), int((label == 0).sum())
         if not n1 or not n0:
             return cls(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, RANK)), 4.0 if n1 else -4.0)
         sizes = np.array([len(s) for s in sets])
         term, row = np.concatenate(sets).astype(np.int64), np.repeat(np.arange(len(sets)), sizes)
-        df1 = np.bincount(term[label[row] == 1], minlength=1 << BITS)
-        df0 = np.bincount(term[label[row] == 0], minlength=1 << BITS)
-        p = (df1 + df0) / (n1 + n0)
-        z = np.abs(df1 / n1 - df0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-        z[df1 + df0 < 8] = 0
-        terms = np.sort(np.argsort(-z, kind="stable")[:TERMS])
-        terms = terms[z[terms] > 6]
+        if terms is None:
+            df1, df0 = (np.bincount(term[label[row] == c], minlength=1 << BITS) for c in (1, 0))
+            terms = choose_terms(df1, df0, n1, n0)
         rng = np.random.default_rng(seed)
         fm = cls(terms, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), RANK)), 0.0)
         k = fm.index[term]
@@ -126,26 +156,37 @@ def factorization_machine(
     """Per row of ``docs``: doc_id, held_out, score (0 to 1) and predicted (score >= 0.5).
 
     At most ``2 * per_class`` labelled rows train the machine: their ids are
-    broadcast (a bounded table), their term sets collected. The fitted machine
-    has at most ``TERMS`` terms, so what tasks receive is bounded as well, and
-    scoring is one map over the texts. Null and empty texts score the bias.
+    broadcast (a bounded table), and of their texts only the chosen terms, at
+    most ``TERMS`` each, are collected. What tasks receive is bounded as well,
+    and scoring is one map over the whole texts. Null and empty texts score the
+    bias; repeated rows score alike, and of rows that repeat a labelled id one
+    teaches. Further columns are ignored, whatever their names.
     """
-    chosen = F.broadcast(training_labels(labels, column, per_class, seed))
-    taught = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").select("label", "text")
-    got = taught.mapInArrow(_sampled, "label int, terms array<int>, weights array<float>").toArrow().combine_chunks()
-    label = np.asarray(got.column("label").combine_chunks()).astype(np.int64)
-    lists, vals = got.column("terms").combine_chunks(), got.column("weights").combine_chunks()
-    at, flat, amount = np.asarray(lists.offsets), np.asarray(lists.values), np.asarray(vals.values)
+    taught = taught_rows(docs, training_labels(labels, column, per_class, seed), "text").select("label", "text")
+    sampled = taught.mapInArrow(_sampled, "label int, digest binary, terms array<int>, weights binary")
+    # equal term sets count once, so that copies lend their terms no weight
+    once = staged(sampled.dropDuplicates(["label", "digest"]), "toxic-sample")
+    n = {r["label"]: r["count"] for r in once.groupBy("label").count().collect()}
+    # at most 2**BITS terms: what reaches the driver has the same bound at any size
+    counts = once.select("label", F.explode("terms").alias("term")).groupBy("term").agg(
+        F.sum((F.col("label") == 1).cast("long")).alias("df1"), F.sum((F.col("label") != 1).cast("long")).alias("df0")
+    )
+    got = counts.where("df1 + df0 >= 8").toArrow()
+    df1, df0 = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for x, c in ((df1, "df1"), (df0, "df0")):
+        x[np.asarray(got.column("term").combine_chunks())] = np.asarray(got.column(c).combine_chunks())
+    terms = choose_terms(df1, df0, n[1], n[0]) if len(n) == 2 else np.zeros(0, np.int64)
+    got = once.mapInArrow(_only(terms), "label int, digest binary, terms binary, weights binary").collect()
+    got.sort(key=lambda r: (bytes(r["digest"]), r["label"]))  # the order is fixed by content
+    release(once)
     share = labels.where(F.col(column).isNotNull() & (fold_of(F.col("doc_id")) != 0)).agg(F.avg(column)).first()[0]
-    # equal term sets count once, so that copies lend their terms no weight; the order is fixed by content
-    once = {(flat[a:b].tobytes(), amount[a:b].tobytes(), int(y)) for a, b, y in zip(at[:-1], at[1:], label)}
-    rows = sorted(once)
     model = FactorizationMachine.fit(
-        [np.frombuffer(s, np.int32) for s, _, _ in rows],
-        [np.frombuffer(v, np.float32) for _, v, _ in rows],
-        np.array([y for _, _, y in rows], np.int64),
+        [np.frombuffer(r["terms"], np.int32) for r in got],
+        [np.frombuffer(r["weights"], np.float32) for r in got],
+        np.array([r["label"] for r in got], np.int64),
         share or 0.5,
         seed,
+        terms=terms,
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

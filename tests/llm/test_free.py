@@ -4,11 +4,13 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from millrace.llm.labels import taught_rows, training_labels
 from millrace.llm import ngram_join, packing, quality_ranking, sharding, substrings, suffix_array, toxicity
 
 from .conftest import SCHEMA, U
@@ -170,6 +172,28 @@ def test_plan_uses_every_piece_and_fills_exactly():
         assert sum(m for _, m in plan) <= 1.01 * bins
 
 
+def test_exact_complements_by_sums():
+    """The index holds every combination; gaps that one, two or three short lengths fill exactly are filled by them."""
+    n = np.array([3, 5, 9, 20])
+    for many in (1, 2, 3):
+        want = defaultdict(set)
+        for c in combinations_with_replacement(sorted(n.tolist(), reverse=True), many):
+            if sum(c) <= 40:
+                want[sum(c)].add(c)
+        assert {k: set(map(tuple, v.tolist())) for k, v in packing.sum_index(n, many, 40).items()} == want
+    for shorts in ([100], [60, 40], [47, 31, 22]):
+        plan = packing.plan_packing(Counter([924] * 3 + shorts * 3))
+        assert [(tuple(sorted(p, reverse=True)), m) for p, m in plan] == [((924, *shorts), 3)]
+    plan = packing.plan_packing(Counter({924: 5, 60: 2, 40: 9, 50: 1}))  # availability ends after two
+    assert ((924, 60, 40), 2) in plan and sum(m for _, m in plan) == 6  # 5150 in all, which five cannot hold
+
+
+def test_plan_without_pieces_and_with_ties():
+    assert packing.plan_packing({}) == [] and packing.plan_packing({1024: 4}) == [((1024,), 4)]
+    plan = packing.plan_packing({512: 5, 1: 1024})
+    assert sum(m for _, m in plan) == 4 and sum(sum(p) * m for p, m in plan) == 5 * 512 + 1024
+
+
 def labelled(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
@@ -230,7 +254,19 @@ def test_empty_and_clashing(spark, empty, clashing):
         lambda d: toxicity.factorization_machine(d, labels),
     ):
         assert f(empty).count() == 0
-        assert f(clashing.drop("shard")).count() >= 15
+        assert f(clashing).count() >= 15
+
+
+def test_repeated_ids_teach_once(spark):
+    docs, labels, known = labelled(spark)
+    many = docs.unionByName(docs).unionByName(docs.where("doc_id < 50"))
+    taught = taught_rows(many, training_labels(labels, "toxic"), "text")
+    assert taught.count() == sum(zlib.crc32(str(x[0]).encode()) % 5 != 0 for x in known)
+
+
+def test_clashing_columns_pass_through_shards(clashing):
+    got = sharding.external_shuffle(clashing)
+    assert len(got.columns) == len(set(got.columns)) and {r["_h"] for r in got.collect()} == {1}
 
 
 def test_repeated_rows(spark):
