@@ -11,28 +11,29 @@ from millrace.functions.scalars import hamming
 def hamming_pairs(df: DataFrame, id_col: str, hash_col: str, within: str | None = None, threshold: int = 6) -> DataFrame:
     """(a, b, distance) with a < b for all pairs of rows whose hashes differ in ``threshold`` bits at most.
 
-    Exact: the 64 bits are cut into threshold + 1 bands, and such a pair agrees
-    in one band at least. Rows with equal hashes are joined through their
-    smallest id, so that copies of one hash do not pair among each other in
-    every band; each pair of hashes is found by its first common band alone.
-    With ``within`` only rows of the same class pair. Null hashes never pair.
+    Exact: of threshold + 2 bands of the 64 bits such a pair agrees in two at
+    least, so rows meet in pairs of bands (16 bits of eight bands at threshold
+    6). Rows with equal hashes are joined through their smallest id, so that
+    copies of one hash do not pair among each other in every band; each pair of
+    hashes is found in its first two common bands alone. With ``within`` only
+    rows of the same class pair. Null hashes never pair.
     """
     keys = [within] if within else []
     one = df.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), *keys)
     reps = one.groupBy("h", *keys).agg(F.min("id").alias("rep"))
-    n, cuts = threshold + 1, [64 * k // (threshold + 1) for k in range(threshold + 2)]
+    n, cuts = threshold + 2, [64 * k // (threshold + 2) for k in range(threshold + 3)]
     band = lambda h, k: F.shiftrightunsigned(h, cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1)
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), band(F.col("h"), k).alias("v")) for k in range(n)])
+    both = lambda j, k: F.struct(F.lit(n * j + k).alias("k"), F.shiftleft(band(F.col("h"), j), 32).bitwiseOR(band(F.col("h"), k)).alias("v"))
+    bands = F.array(*[both(j, k) for j in range(n) for k in range(j + 1, n)])
     cut = reps.withColumn("_b", F.explode(bands)).select("h", *keys, "rep", F.col("_b.k").alias("k"), F.col("_b.v").alias("v"))
     x, y = cut.alias("x"), cut.alias("y")
     same = (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.rep") < F.col("y.rep"))
     for c in keys:
         same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-    earlier = F.lit(False)
-    for k in range(n):
-        earlier = earlier | ((F.col("x.k") > k) & (band(F.col("x.h"), k) == band(F.col("y.h"), k)))
+    agree = F.array_compact(F.array(*[F.when(band(F.col("x.h"), k) == band(F.col("y.h"), k), k) for k in range(n)]))
+    first = F.get(agree, F.lit(0)) * n + F.get(agree, F.lit(1))
     d = hamming(F.col("x.h"), F.col("y.h"))
-    near = x.join(y, same & (d <= threshold) & ~earlier).select(
+    near = x.join(y, same & (d <= threshold) & (F.col("x.k") == first)).select(
         F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), d.cast("int").alias("distance")
     )
     equal = one.join(reps, ["h", *keys]).where(F.col("id") != F.col("rep")).select(

@@ -279,13 +279,14 @@ def j19_rank_expand(spark, d):
     return R.ladder_matches(p, rules, ["p_name", "p_brand", "p_type"]).select("p_partkey", "kind", "rank")
 
 
-_SIGNS = "list_sum(list_transform(range(1, 25), lambda i: CASE WHEN embedding[i] > 0 THEN (1::UBIGINT << (i - 1)) ELSE 0 END))::UBIGINT"
+_SIGNS = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::UBIGINT << (i - 1)) ELSE 0 END))::UBIGINT"
 
 
 def _signs(spark, d):
+    """The signs of the first 64 dimensions as bits."""
     e = _t(spark, d, "embeddings")
-    bits = F.transform(F.slice("embedding", 1, 24), lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return e.select("vec_id", "label", F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a + b).alias("h"))
+    bits = F.transform(F.slice("embedding", 1, 64), lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return e.select("vec_id", "label", F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)).alias("h"))
 
 
 @query(
@@ -718,20 +719,8 @@ def x36_tiers(spark, d):
     return s.select("p_name", "p_brand", "p_type", S.tier(F.col("n"), F.lit(25), b, F.lit(30), t, F.lit(30)).alias("tier"))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 500 AS u, 1000 + l_partkey % 700 AS v FROM lineitem WHERE l_quantity = 1 AND l_discount < 0.03),
-    b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, root) AS (SELECT u, u FROM b UNION SELECT b.v, r.root FROM r JOIN b ON r.node = b.u)
-    SELECT node, min(root) AS root FROM r GROUP BY 1"""
-)
-def g1_components(spark, d):
-    li = _t(spark, d, "lineitem").where("l_quantity = 1 and l_discount < 0.03")
-    e = li.select((F.col("l_orderkey") % 500).alias("u"), (F.col("l_partkey") % 700 + 1000).alias("v")).distinct()
-    nodes = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct()
-    return graph.labelled(nodes, e)
-
-
 @query()
-def g1_order_parts(spark, d):
+def g1_components(spark, d):
     """Components over every line item. Orders get even nodes and parts odd ones; no SQL, whose recursion lists all pairs of a component."""
     li = _t(spark, d, "lineitem").where("l_orderkey is not null and l_partkey is not null")
     e = li.select((F.col("l_orderkey").cast("long") * 2).alias("u"), (F.col("l_partkey").cast("long") * 2 + 1).alias("v")).distinct()

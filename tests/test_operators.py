@@ -44,7 +44,7 @@ def test_components_of_all_line_items_equal_union_find(spark, tmp_path):
         parent[b] = a
     want = {x: find(x) for x in parent}
     assert len(set(want.values())) > 3
-    got = catalog.QUERIES["g1_order_parts"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["g1_components"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and dict(map(tuple, got)) == want
 
 
