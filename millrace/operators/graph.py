@@ -49,3 +49,18 @@ def components(edges: DataFrame) -> DataFrame:
 def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root) for all ``nodes``, lone ones included."""
     return nodes.join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def leak_edges(contents: DataFrame, *groupings: str, key: str = "sha") -> DataFrame:
+    """Edges (u, v) from the first content of each group to its others, for every column of ``groupings``.
+
+    A star gives the same components as all pairs and is linear in the group.
+    Nulls group nothing.
+    """
+    out = None
+    for g in groupings:
+        rows = contents.where(F.col(g).isNotNull()).select(key, g).distinct()
+        first = rows.groupBy(g).agg(F.min(key).alias("u"))
+        star = rows.join(first, g).where(F.col(key) != F.col("u")).select("u", F.col(key).alias("v"))
+        out = star if out is None else out.unionByName(star)
+    return out.distinct()

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as S
+from millrace.operators import graph, splits
 from millrace.operators import relational as R
-from millrace.operators import splits
 from millrace.plans.catalog import _BEST, _IMAGES, QUERIES, _fraction, _pred, _t, images, query
 from millrace.sources.tables import Table
 from millrace.storage import shared_dir, staged
@@ -492,5 +492,50 @@ def a30_fingerprint(spark, d):
     return spark.createDataFrame([splits.fingerprint(rows)], "n long, fingerprint string")
 
 
+def assignment_batches(spark: SparkSession, links: DataFrame, batches: list) -> tuple[Table, Table, Table]:
+    """(groups, members, quarantine) after the batches, conditions on ``links``, came in one by one.
+
+    ``links`` has sha, taxon, observer and the columns observation and near.
+    Components are built over all that has come in so far; what is persisted is
+    only added to.
+    """
+    groups = _table(spark, spark.createDataFrame([], f"group_id string, taxon {dict(links.dtypes)['taxon']}, split string, observers array<string>, assigned_at long"))
+    members = _table(spark, spark.createDataFrame([], "sha string, group_id string"))
+    held = _table(spark, spark.createDataFrame([], "sha string, reason string, detail string"))
+    seen = F.lit(False)
+    for k, batch in enumerate(batches):
+        seen = seen | batch
+        clean, _ = splits.eligible(links.where(seen))
+        roots = staged(graph.labelled(clean.select(F.col("sha").alias("node")).distinct(), graph.leak_edges(clean, "observation", "near")), "assign-roots")
+        new, joined, quarantined = splits.assign(clean.select("sha", "taxon", "observer"), roots, groups.read(), members.read())
+        new, joined = staged(new.withColumn("assigned_at", F.lit(k).cast("long")), "assign-groups"), staged(joined, "assign-members")
+        held.insert_new(quarantined, ["sha"], [F.col("detail")])
+        groups.insert_new(new, ["group_id"], [F.col("split")])
+        members.insert_new(joined, ["sha"], [F.col("group_id")])
+    return groups, members, held
+
+
+def order_links(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as contents: class (nation modulo 5), observer (customer), observation (customer and month), near copies (price to 20)."""
+    o, c = _t(spark, d, "orders"), _t(spark, d, "customer")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"]).withColumn("taxon", (F.col("c_nationkey") % 5).cast("int"))
+    return j.select(
+        "o_orderkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha"), "taxon", F.col("o_custkey").cast("string").alias("observer"),
+        F.concat_ws("/", "o_custkey", F.date_format("o_orderdate", "yyyy-MM")).alias("observation"),
+        F.concat_ws("/", "taxon", F.floor(F.col("o_totalprice") / 20)).alias("near"),
+    )
+
+
+@query()
+def g4_batches(spark, d):
+    """Three batches of orders into persisted groups: where each order ended, or why it is held back. No SQL: each batch depends on what was persisted."""
+    links = order_links(spark, d)
+    k = F.col("o_orderkey") % 4
+    groups, members, held = assignment_batches(spark, links.withColumn("k", k), [F.col("k") < 2, F.col("k") == 2, F.col("k") == 3])
+    placed = members.read().join(groups.read().select("group_id", "split", "assigned_at"), "group_id")
+    kept = held.read().select("sha", F.lit(None).cast("string").alias("group_id"), F.lit(None).cast("string").alias("split"), F.lit(None).cast("long").alias("assigned_at"), "reason")
+    return placed.withColumn("reason", F.lit(None).cast("string")).unionByName(kept)
+
+
 #: All queries: those of the catalog and of this module.
 REGISTERED = QUERIES
