@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.storage import staged
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in order."""
@@ -67,9 +69,17 @@ def evidence_bar(df: DataFrame, keys: Sequence[str], group: str, rows: int = 40,
 
 
 def dense_ids(names: DataFrame, name: str, start: int = 0, out: str = "class_id") -> DataFrame:
-    """Ids without gaps in order of the (distinct) names; a class list is small by nature."""
-    w = Window.orderBy(F.col(name).asc_nulls_last())
-    return names.select(name).distinct().withColumn(out, F.row_number().over(w) - 1 + start)
+    """Ids without gaps in order of the (distinct) names, nulls last.
+
+    Names go to range partitions, are numbered within each, and each partition
+    begins where those before it end: no task holds more than a range.
+    """
+    ranged = names.select(name).distinct().repartitionByRange(F.col(name).asc_nulls_last())
+    ranged = staged(ranged.withColumn("_p", F.spark_partition_id()), "dense-ids")
+    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_before")
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(F.col(name).asc_nulls_last()))
+    return ranged.withColumn("_k", own).join(F.broadcast(before), "_p").select(name, (F.col("_before") + F.col("_k") - 1 + start).alias(out))
 
 
 def mint_ids(registry: DataFrame, names: DataFrame, name: str = "name", first: int = 1000) -> DataFrame:
