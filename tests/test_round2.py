@@ -1,6 +1,7 @@
 """Queries against their SQL on odd rows, and operators on cases that an earlier round missed."""
 
 import os
+import random
 import shutil
 
 import duckdb
@@ -46,6 +47,22 @@ def test_cells_of_odd_balances(spark, odd, name):
     assert got == want
 
 
+def test_pairs_of_copies_and_odd_embeddings(spark, tmp_path):
+    """Families of near hashes with copies, repeated and null ids, no embedding, short ones and nulls in them."""
+    rng = random.Random(4)
+    sign = lambda h: [1.0 if h >> k & 1 else -1.0 for k in range(64)]
+    base = [rng.getrandbits(64) for _ in range(4)]
+    near = [b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in base for n in (0, 1, 3, 5)]
+    rows = [(rng.randrange(1000), sign(rng.choice(near))) for _ in range(120)]
+    rows += [(rows[0][0], rows[1][1]), (rows[0][0], sign(near[0])), (None, rows[2][1])]
+    rows += [(2000, None), (2001, []), (2002, [None, 1.0, float("nan")]), (2003, [0.0] * 64), (2004, sign(1)), (-5, None)]
+    spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/t")
+    (at := tmp_path / "d").mkdir()
+    shutil.copy(next((tmp_path / "t").glob("*.parquet")), at / "embeddings.parquet")
+    got, want = _both(spark, "j21_hamming", at)
+    assert len(want) > 1000 and got == want
+
+
 def test_half_way_values(spark):
     """Counts whose logarithms are to each other as one or three to four lie half-way; their last bit decides."""
     rows = [(m, k, m**p - 1) for m in (7, 14, 48, 49, 176) for k, p in enumerate((1, 3, 4))]
