@@ -6,9 +6,11 @@ import shutil
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from millrace import storage
 from millrace.operators import geo
-from millrace.plans import catalog
+from millrace.plans import catalog, curation
 
 DATA = "/root/testdata/sf0.001"
 
@@ -72,3 +74,13 @@ def test_half_way_values(spark):
     sql = catalog.ORACLE["a18_quantise"].replace(catalog._CELLS, "h")
     got = geo.quantised(spark.createDataFrame(rows, "class int, cell int, n long"))
     assert sorted(map(tuple, got.collect())) == sorted(c.sql(sql).fetchall())
+
+
+def test_batches_leave_their_tables_only(spark, tmp_path, monkeypatch):
+    rows = [(i, f"{i:04x}", i % 2, f"o{i % 6}", f"o{i % 6}/{i // 12}", f"n{i % 7}" if i % 5 == 0 else None) for i in range(24)]
+    links = spark.createDataFrame(rows, "i int, sha string, taxon int, observer string, observation string, near string")
+    for module in (storage, curation):
+        monkeypatch.setattr(module, "shared_dir", lambda _: str(tmp_path))
+    groups, members, held = curation.assignment_batches(spark, links, [F.col("i") < 20, F.col("i") >= 20])
+    assert members.read().count() + held.read().count() == 24
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"table"}
