@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shingles import mixed, text_bytes
+from millrace.llm.shingles import text_bytes
 from millrace.llm.suffix_array import permuted_common_prefixes, suffix_array
 from millrace.storage import staged
 
@@ -24,6 +24,22 @@ _P = np.uint64(0x9E3779B97F4A7C17 | 3)
 _TABLE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
+#: Their product is GRAM.
+_STEPS = (2, 5, 2)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """``mixed`` in place."""
+    s = np.empty_like(x)
+    for by, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(x, np.uint64(by), out=s)
+        x ^= s
+        x *= np.uint64(times)
+    np.right_shift(x, np.uint64(31), out=s)
+    x ^= s
+    return x
+
+
 def key_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive ``LENGTH``-byte strings with the same key: (key, first start, number).
 
@@ -40,12 +56,17 @@ def key_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         new = np.r_[True, key[1:] != key[:-1]]  # runs go on across pieces
         first = first[new]
         return key[new], first, np.diff(np.r_[first, n - LENGTH + 1])
-    h = np.zeros(n - GRAM + 1, dtype=np.uint64)
-    values = _TABLE[data]
-    for k in range(GRAM):
-        h *= _P
-        h += values[k : n - GRAM + 1 + k]
-    low, width, need = mixed(h), 1, LENGTH - GRAM + 1
+    # grams of 1, 2, 5, 10 and GRAM bytes, each of two or more of the size before
+    h, size = _TABLE[data], 1
+    for times in _STEPS:
+        wide, shift, m = h, np.uint64(pow(int(_P), size, 1 << 64)), len(h) - size * (times - 1)
+        h = h[:m] * shift
+        for k in range(1, times):
+            h += wide[size * k : size * k + m]
+            if k + 1 < times:
+                h *= shift
+        size *= times
+    low, width, need = _mixed(h), 1, LENGTH - GRAM + 1
     while width < need:
         step = min(width, need - width)
         low = np.minimum(low[: len(low) - step], low[step:])

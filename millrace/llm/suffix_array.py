@@ -1,125 +1,51 @@
-"""Suffix arrays by induced sorting, whole buckets at a time, and permuted common prefixes."""
+"""Suffix arrays by prefix doubling, and permuted common prefixes."""
 
 from __future__ import annotations
 
 import numpy as np
 
-_P = 0x9E3779B97F4A7C17 | 3
 
+def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
+    """Positions of a byte string in the order of their suffixes, as far as ``depth`` bytes tell them apart.
 
-def classify(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each suffix is smaller than the next one, and the leftmost-smaller positions.
-
-    The suffix after the end counts as the smallest.
-    """
-    n = len(t)
-    step = np.zeros(n, dtype=np.int8)
-    step[:-1] = np.sign(t[1:].astype(np.int16) - t[:-1].astype(np.int16))
-    step[-1] = -1
-    at = np.where(step != 0, np.arange(n), n)
-    at = np.minimum.accumulate(at[::-1])[::-1]
-    smaller = step[at] > 0
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    return smaller, lms
-
-
-def induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """All suffixes in order, from the leftmost-smaller ones in order within each first byte.
-
-    Suffixes come in bucket by bucket: a bucket's entries place their left
-    neighbours at the next places of those neighbours' buckets, first larger
-    ones from the left, then smaller ones from the right.
-    """
-    n = len(t)
-    given = [lms[t[lms] == c] for c in range(256)]
-    larger: list[list[np.ndarray]] = [[] for _ in range(256)]
-    larger[t[n - 1]].append(np.array([n - 1]))
-
-    def place(cur: np.ndarray, want: bool, into: list[list[np.ndarray]], c: int) -> np.ndarray:
-        left = cur[cur > 0] - 1
-        left = left[smaller[left] == want]
-        chars = t[left]
-        own = left[chars == c]
-        rest, chars = left[chars != c], chars[chars != c]
-        if len(rest):
-            order = np.argsort(chars, kind="stable")
-            rest, chars = rest[order], chars[order]
-            edge = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]])
-            for a, b in zip(edge, np.r_[edge[1:], len(rest)]):
-                into[chars[a]].append(rest[a:b])
-        return own
-
-    lower: list[np.ndarray] = []
-    for c in range(256):
-        parts = larger[c]
-        cur = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        done = [cur]
-        while len(cur):
-            cur = place(cur, False, larger, c)
-            done.append(cur)
-        lower.append(np.concatenate(done))
-        if len(given[c]):
-            place(given[c], False, larger, c)
-    upper: list[list[np.ndarray]] = [[] for _ in range(256)]
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * 256
-    for c in range(255, -1, -1):
-        parts = upper[c]
-        cur = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        done = [cur]
-        while len(cur):
-            cur = place(cur, True, upper, c)
-            done.append(cur)
-        out[c] = np.concatenate([lower[c], np.concatenate(done)[::-1]])
-        if len(lower[c]):
-            place(lower[c][::-1], True, upper, c)
-    return np.concatenate(out)
-
-
-def _order(names: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of a sequence of names in order of at least their first ``depth`` names.
-
-    Each round names the suffixes by their first h names and sorts the
-    sequence of those names in turn, until all differ or h reaches the depth.
+    Suffixes are sorted by their first seven bytes as one number; then those
+    still tied by the ranks of the suffixes 7, 14, 28 ... bytes on, until none
+    is tied or the depth is reached. A suffix that ends comes before those that
+    go on.
     """
-    rank, h = names.astype(np.int64), 1
-    while True:
-        after = np.full(len(rank), -1, dtype=np.int64)
-        after[: max(len(rank) - h, 0)] = rank[h:]
-        order = np.lexsort((after, rank))
-        new = np.r_[0, np.cumsum((np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0))]
-        rank = np.empty_like(rank)
-        rank[order] = new
-        h *= 2
-        if h >= depth or new[-1] == len(rank) - 1:
-            return order
-
-
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of a byte string in the order of their suffixes, as far as ``depth`` bytes tell them apart."""
     n = len(t)
     if n < 2:
         return np.arange(n)
-    smaller, lms = classify(t)
-    if not len(lms):
-        return induce(t, smaller, lms)
-    by_substring = induce(t, smaller, lms)
-    mark = np.zeros(n, dtype=bool)
-    mark[lms] = True
-    by_substring = by_substring[mark[by_substring]]
-    # name the substrings from each leftmost-smaller position to the next, equal ones alike
-    ends = np.empty(n, dtype=np.int64)
-    ends[lms] = np.r_[lms[1:] + 1, n + 1]
-    p = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, np.uint64(_P))])
-    inv = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, np.uint64(pow(_P, -1, 1 << 64)))])
-    sums = np.r_[np.uint64(0), np.cumsum((t.astype(np.uint64) * np.uint64(2) + np.uint64(0x1F123BB5159A55E5)) * p[:n])]
-    a, b = by_substring, np.minimum(ends[by_substring], n)
-    value, length = (sums[b] - sums[a]) * inv[a], ends[by_substring] - a
-    fresh = np.r_[0, np.cumsum((value[1:] != value[:-1]) | (length[1:] != length[:-1]))]
-    name = np.empty(n, dtype=np.int64)
-    name[by_substring] = fresh
-    # each substring adds a byte at least, two but for the last
-    lms = lms[_order(name[lms], depth // 2 + 2)]
-    return induce(t, smaller, lms)
+    padded, h = np.zeros(n + 7, np.uint64), 7
+    padded[:n] = t
+    key = padded[:n].copy()
+    for k in range(1, h):
+        key <<= np.uint64(8)
+        key |= padded[k : n + k]
+    # last how many of the bytes are there, so that the end sorts below a zero byte
+    key <<= np.uint64(8)
+    key |= np.minimum(n - np.arange(n), h).astype(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    # the rank of a suffix is where those tied with it begin
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = first
+    while h < depth:
+        at = np.flatnonzero(~new | ~np.r_[new[1:], True])
+        if not len(at):
+            break
+        i = order[at]
+        after = np.where(i + h < n, rank[np.minimum(i + h, n - 1)] + 1, 0)
+        key = first[at] * (n + 1) + after
+        by = np.argsort(key)
+        order[at], key = i[by], key[by]
+        new[at] = np.r_[True, key[1:] != key[:-1]]
+        first[at] = np.maximum.accumulate(np.where(new[at], at, 0))
+        rank[order[at]] = first[at]
+        h *= 2
+    return order
 
 
 def permuted_common_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:

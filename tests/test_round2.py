@@ -3,12 +3,15 @@
 import os
 import random
 import shutil
+import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace import storage
+from millrace.llm import suffix_array
 from millrace.operators import geo
 from millrace.plans import catalog, curation
 
@@ -84,3 +87,31 @@ def test_batches_leave_their_tables_only(spark, tmp_path, monkeypatch):
     groups, members, held = curation.assignment_batches(spark, links, [F.col("i") < 20, F.col("i") >= 20])
     assert members.read().count() + held.read().count() == 24
     assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"table"}
+
+
+def test_suffix_arrays_sort_ties_only():
+    """Copies, cut copies and a run of one byte; also the ends of strings of zeros."""
+    assert suffix_array.suffix_array(np.zeros(80, np.uint8), 50).tolist()[:49] == list(range(79, 30, -1))
+    rng = np.random.default_rng(2)
+    parts = [bytes(rng.integers(97, 101, rng.integers(50, 160), np.uint8)) for _ in range(1500)]
+    parts += [p[3:] for p in parts] + [p[:-3] for p in parts[:500]] + [b"a" * 3000]
+    t = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)
+    order = suffix_array.suffix_array(t, 50)
+    raw = t.tobytes()
+    assert sorted(order) == list(range(len(t)))
+    assert [raw[i : i + 50] for i in order] == sorted(raw[i : i + 50] for i in range(len(t)))
+
+
+def test_suffix_array_costs_a_few_sorts():
+    t = np.random.default_rng(3).integers(97, 123, 400_000).astype(np.uint8)
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    keys = t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C17)
+    assert least(lambda: suffix_array.suffix_array(t, 50)) < 8 * least(lambda: np.argsort(keys, kind="stable"))
