@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.labels import PER_CLASS, taught_rows, training_labels
+from millrace.llm.labels import known_labels, taught_rows
 from millrace.llm.shingles import shingle_sets, text_bytes, word_hashes
 from millrace.llm.text import fold_of
-from millrace.storage import staged
+from millrace.storage import release, staged
 
-#: Preference pairs the model is fitted on.
-PAIRS = 200_000
+#: Places on the axis of scores for each unit, between which a row is divided; rows of which the last step of the cut may collect.
+STEPS, LAST = 16, 20_000
+#: Weight of the ridge.
+RIDGE = 1e-3
 #: The score at the cut between the classes.
 CUT = 0.3
 _CLASSES = {
@@ -79,61 +81,138 @@ def _expand(f: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
     return np.hstack([z, z * z])
 
 
-def fit(features: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 0) -> dict:
-    """Weights from preference pairs: a document of label 1 is preferred to one of label 0.
+def _parts(taught: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """What ``f`` makes of the features and labels of each task, in an order that reruns keep."""
 
-    The loss is log(1 + exp(-w . (x1 - x0))) with a small ridge, minimised by
-    Newton's method. The cut is the quantile of the training scores at the
-    share of label 0. Without both labels all scores are the same.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = [], []
+        for b in batches:
+            x.append(np.asarray(b.column("features").flatten()).astype(np.float64).reshape(len(b), len(FEATURES)))
+            y.append(np.asarray(b.column("label")))
+        if x:
+            part = f(np.concatenate(x), np.concatenate(y))
+            yield pa.RecordBatch.from_arrays([pa.array([part.astype(np.float64).tobytes()], pa.binary())], names=["part"])
+
+    rows = taught.mapInArrow(run, "part binary").collect()
+    return [np.frombuffer(r) for r in sorted(bytes(r["part"]) for r in rows)]
+
+
+def _divided(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place below each score, and the share of the row that goes to the one above."""
+    low = np.floor(s * STEPS)
+    return low.astype(np.int64), s * STEPS - low
+
+
+def _placed(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows of (label, place, weight, weighted features) of the places that rows of each label come near."""
+    low, up = _divided(x @ w)
+    out = []
+    for label in (0, 1):
+        of = np.flatnonzero(y == label)
+        place, at = np.unique(np.r_[low[of], low[of] + 1], return_inverse=True)
+        share, rows = np.r_[1 - up[of], up[of]], np.r_[of, of]
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0]) if len(at) else np.zeros(0, int)
+        weighted = np.hstack([share[:, None], x[rows] * share[:, None]])[order]
+        sums = np.add.reduceat(weighted, first) if len(at) else np.zeros((0, x.shape[1] + 1))
+        out.append(np.hstack([np.full((len(place), 1), label), place[:, None], sums]))
+    return np.vstack(out).ravel()
+
+
+def _curved(x: np.ndarray, y: np.ndarray, w: np.ndarray, places: list[np.ndarray], heights: list[np.ndarray]) -> np.ndarray:
+    """Sum of the rows' squares, weighted by the heights of their label between its places."""
+    s = x @ w * STEPS
+    c = np.where(y == 1, np.interp(s, places[1], heights[1]), np.interp(s, places[0], heights[0]))
+    return ((x * c[:, None]).T @ x).ravel()
+
+
+def fit(taught: DataFrame) -> dict:
+    """Weights from all preference pairs of ``taught`` (features, label): each row of label 1 is preferred to each of label 0.
+
+    The loss is the mean of log(1 + exp(-w . (x1 - x0))) over all pairs with a
+    small ridge, minimised by Newton's method. A pair counts by its difference
+    of scores alone, so the rows of each label are summed at places on the axis
+    of scores (each divided between the two places next to it), and pairs of
+    places stand for all pairs of rows. The driver gets the sums of the tasks,
+    never rows. The cut is the middle of the scores where the share of label 0
+    ends. Without both labels all scores are the same.
     """
-    mean, std = (features.mean(0), features.std(0) + 1e-6) if len(features) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
-    x = _expand(features, mean, std) if len(features) else np.zeros((0, 2 * len(FEATURES)))
-    w = np.zeros(2 * len(FEATURES))
-    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    if not len(good) or not len(bad):
+    k, n = len(FEATURES), 2 * len(FEATURES)
+    sums = sum(_parts(taught, lambda x, y: np.r_[len(x), (y == 1).sum(), x.sum(0), (x * x).sum(0)]), np.zeros(2 + 2 * k))
+    rows, good = int(sums[0]), int(sums[1])
+    bad, w = rows - good, np.zeros(n)
+    mean = sums[2 : 2 + k] / max(1, rows)
+    std = np.sqrt(np.maximum(sums[2 + k :] / max(1, rows) - mean * mean, 0)) + 1e-6
+    if not good or not bad:
         return {"mean": mean, "std": std, "w": w, "cut": 0.0}
-    rng = np.random.default_rng(seed)
-    d = x[rng.choice(good, pairs)] - x[rng.choice(bad, pairs)]
-    ridge = 1e-3
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        g = -(d * p[:, None]).mean(0) + ridge * w
-        h = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
+        found = np.vstack([p.reshape(-1, n + 3) for p in _parts(taught, lambda x, y, w=w: _placed(_expand(x, mean, std), y, w))])
+        places, weight, total = [], [], []
+        for label in (0, 1):
+            one = found[found[:, 0] == label]
+            place, at = np.unique(one[:, 1], return_inverse=True)
+            both = np.zeros((len(place), n + 1))
+            np.add.at(both, at, one[:, 2:])
+            places.append(place)
+            weight.append(both[:, 0])
+            total.append(both[:, 1:])
+        lost = 1 / (1 + np.exp(np.clip((places[1][:, None] - places[0][None]) / STEPS, -30, 30)))
+        bend = lost * (1 - lost)
+        g = -(total[1].T @ (lost @ weight[0]) - total[0].T @ (lost.T @ weight[1])) / (good * bad) + RIDGE * w
+        heights = [bend.T @ weight[1], bend @ weight[0]]
+        square = sum(_parts(taught, lambda x, y, w=w: _curved(_expand(x, mean, std), y, w, places, heights)), np.zeros(n * n)).reshape(n, n)
+        cross = total[1].T @ bend @ total[0]
+        h = (square - cross - cross.T) / (good * bad) + RIDGE * np.eye(n)
         step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        w = w - step
+        if np.abs(step).max() < 1e-3:
+            break
+    return {"mean": mean, "std": std, "w": w, "cut": _cut(taught, bad, lambda x: _expand(x, mean, std) @ w)}
+
+
+def _cut(taught: DataFrame, bad: int, scores: Callable[[np.ndarray], np.ndarray]) -> float:
+    """The middle of the ``bad``-th and the next score of all rows, exactly."""
+    ends = _parts(taught, lambda x, y: np.r_[scores(x).min(), scores(x).max()])
+    lo, hi = min(p[0] for p in ends), max(p[1] for p in ends)
+    return float((_ranked(taught, bad - 1, scores, lo, hi) + _ranked(taught, bad, scores, lo, hi)) / 2)
+
+
+def _ranked(taught: DataFrame, k: int, scores: Callable[[np.ndarray], np.ndarray], lo: float, hi: float) -> float:
+    """The score that ``k`` rows come before: counts narrow the range until few rows are in it, or equal ones."""
+    while True:
+        edges = np.linspace(lo, hi, 4097)
+
+        def count(x: np.ndarray, y: np.ndarray, edges: np.ndarray = edges) -> np.ndarray:
+            # how many scores are below each edge, and how many up to the last
+            s = np.sort(scores(x))
+            return np.r_[np.searchsorted(s, edges[:-1], "left"), np.searchsorted(s, edges[-1], "right")]
+
+        below = sum(_parts(taught, count))
+        a = min(int(np.searchsorted(below, k, "right")) - 1, 4095)
+        low, high, last = edges[a], edges[a + 1], a == 4095
+        if below[a + 1] - below[a] <= LAST:
             break
-    s = x @ w
-    return {"mean": mean, "std": std, "w": w, "cut": float(np.quantile(s, len(bad) / (len(good) + len(bad))))}
+        if high - low <= 1e-12 * max(1.0, abs(low)):
+            return float(low)
+        lo, hi = low, high
+    near = _parts(taught, lambda x, y: (s := scores(x))[(s >= low) & ((s <= high) if last else (s < high))])
+    return float(np.sort(np.concatenate(near))[k - int(below[a])])
 
 
-def bradley_terry(
-    docs: DataFrame, labels: DataFrame, column: str = "quality", per_class: int = PER_CLASS, seed: int = 0
-) -> DataFrame:
+def bradley_terry(docs: DataFrame, labels: DataFrame, column: str = "quality") -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score (0 to 1) and predicted.
 
     Features of all texts are written once to a table of about 70 bytes a row;
-    at most ``2 * per_class`` labelled rows of it reach the driver, where the
-    weights are fitted; a second pass over the table scores every row. The cut
-    quantile is weighted back to the classes' shares in all labels. Repeated
-    rows get equal scores, and of rows that repeat a labelled id one teaches;
-    null and empty texts are scored from zero features; texts count whole,
-    however long. Further columns are ignored, whatever their names.
+    every labelled row outside the held-out fold teaches (see :func:`fit`); a
+    last pass over the table scores every row. Repeated rows get equal scores,
+    and of rows that repeat a labelled id one teaches; null and empty texts are
+    scored from zero features; texts count whole, however long. Further columns
+    are ignored, whatever their names.
     """
     table = staged(measured(docs), "rank-features")
-    chosen = training_labels(labels, column, per_class, seed)
-    rows = sorted(taught_rows(table, chosen, "features").collect(), key=lambda r: (r["features"], r["label"]))
-    share = labels.where(F.col(column).isNotNull() & (fold_of(F.col("doc_id")) != 0)).agg(F.avg(column)).first()[0]
-    f = np.array([r["features"] for r in rows], dtype=np.float64).reshape(len(rows), len(FEATURES))
-    y = np.array([r["label"] for r in rows])
-    model = fit(f, y, seed=seed)
-    if len(set(y.tolist())) == 2:
-        # classes were sampled apart: weigh each row by its class's share before taking the quantile
-        s = _expand(f, model["mean"], model["std"]) @ model["w"]
-        weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
-        order = np.argsort(s)
-        k = int(np.searchsorted(np.cumsum(weight[order]), 1 - share))
-        model["cut"] = float((s[order][min(k, len(s) - 1)] + s[order][min(k + 1, len(s) - 1)]) / 2)
+    taught = staged(taught_rows(table, known_labels(labels, column), "features", bounded=False), "rank-taught")
+    model = fit(taught)
+    release(taught)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import storage
-from millrace.llm import suffix_array
+from millrace.llm import quality_ranking, suffix_array
 from millrace.operators import geo
 from millrace.plans import catalog, curation
 
@@ -115,3 +115,31 @@ def test_suffix_array_costs_a_few_sorts():
 
     keys = t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C17)
     assert least(lambda: suffix_array.suffix_array(t, 50)) < 8 * least(lambda: np.argsort(keys, kind="stable"))
+
+
+def test_ranking_learns_from_all_pairs(spark):
+    """The weights are where the loss over every pair of labels 1 and 0 is least, and the cut is exact."""
+    rng = np.random.default_rng(7)
+    y = (rng.random(260) < 0.4).astype(int)
+    f = rng.normal(size=(260, len(quality_ranking.FEATURES))).astype(np.float32)
+    f[:, :3] += 0.8 * y[:, None].astype(np.float32)
+    taught = spark.createDataFrame([(r.tolist(), int(k)) for r, k in zip(f, y)], "features array<float>, label int").repartition(3)
+    m = quality_ranking.fit(taught)
+    f = f.astype(np.float64)
+    assert np.allclose(m["mean"], f.mean(0)) and np.allclose(m["std"], f.std(0) + 1e-6)
+    x = quality_ranking._expand(f, m["mean"], m["std"])
+    d = (x[y == 1][:, None] - x[y == 0][None]).reshape(-1, x.shape[1])
+    slope = -(d / (1 + np.exp(d @ m["w"]))[:, None]).mean(0) + quality_ranking.RIDGE * m["w"]
+    assert np.abs(slope).max() < 1e-3 and np.abs(d.mean(0)).max() > 0.3
+    s, bad = np.sort(x @ m["w"]), int((y == 0).sum())
+    assert np.isclose(m["cut"], (s[bad - 1] + s[bad]) / 2)
+
+
+def test_cut_narrows_to_equal_and_to_close_scores(spark, monkeypatch):
+    monkeypatch.setattr(quality_ranking, "LAST", 10)
+    k = len(quality_ranking.FEATURES)
+    for values in ([0.0] * 50, [1e-9 * i for i in range(60)] + [5.0] * 30, [float(i) for i in range(300)] + [-1e9, 1e9]):
+        taught = spark.createDataFrame([([v] * k, 0) for v in values], "features array<float>, label int").repartition(2)
+        near = sorted(np.float32(values).astype(np.float64))
+        for bad in (1, len(values) // 2, len(values) - 1):
+            assert np.isclose(quality_ranking._cut(taught, bad, lambda x: x[:, 0]), (near[bad - 1] + near[bad]) / 2, rtol=1e-6, atol=1e-11)
