@@ -18,8 +18,9 @@ from millrace.storage import staged
 LENGTH, GRAM = 50, 20
 #: Distinct bytes that one suffix array covers, unless a single key has more.
 SHARD_BYTES = 1 << 20
-#: Keys a map task gathers before it sends them; bytes of a text that are hashed at once.
-FLUSH, PIECE = 1_000_000, 1 << 19
+#: Keys a map task gathers before it sends them; bytes that are hashed at once, few enough for the processor's
+#: cache; bytes of segments, or strings of them, that are laid out at once.
+FLUSH, PIECE, PORTION = 1_000_000, 1 << 14, 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C17 | 3)
 _TABLE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -40,22 +41,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def key_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive ``LENGTH``-byte strings with the same key: (key, first start, number).
-
-    The key of a string is the least hash of the ``GRAM``-byte grams in it, so
-    equal strings have equal keys wherever they stand.
-    """
-    n = len(data)
-    if n < LENGTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if n > 2 * PIECE:
-        parts = [(lo, key_runs(data[lo : lo + PIECE + LENGTH - 1])) for lo in range(0, n - LENGTH + 1, PIECE)]
-        key = np.concatenate([r[0] for _, r in parts])
-        first = np.concatenate([r[1] + lo for lo, r in parts])
-        new = np.r_[True, key[1:] != key[:-1]]  # runs go on across pieces
-        first = first[new]
-        return key[new], first, np.diff(np.r_[first, n - LENGTH + 1])
+def _keys_at(data: np.ndarray) -> np.ndarray:
+    """The key of each ``LENGTH``-byte string: the least hash of the ``GRAM``-byte grams in it."""
     # grams of 1, 2, 5, 10 and GRAM bytes, each of two or more of the size before
     h, size = _TABLE[data], 1
     for times in _STEPS:
@@ -71,53 +58,78 @@ def key_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         step = min(width, need - width)
         low = np.minimum(low[: len(low) - step], low[step:])
         width += step
-    first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    return low[first], first, np.diff(np.r_[first, len(low)])
+    return low
+
+
+def key_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive ``LENGTH``-byte strings of a text with the same key: (text, key, first start, number).
+
+    Equal strings have equal keys wherever they stand. ``offsets`` are the
+    n + 1 places of the texts in ``data``; starts count from the text's own.
+    """
+    texts, keys, firsts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    last = np.uint64(0)
+    for lo in range(0, len(data) - LENGTH + 1, PIECE):
+        low = _keys_at(data[lo : lo + PIECE + LENGTH - 1])
+        new = np.r_[low[0] != last, low[1:] != low[:-1]]
+        a, b = np.searchsorted(offsets, (lo, lo + len(low)))
+        new[offsets[a:b] - lo] = True
+        last = low[-1]
+        at = np.flatnonzero(new)
+        text = np.searchsorted(offsets, at + lo, "right") - 1
+        whole = at + lo + LENGTH <= offsets[text + 1]
+        at, text = at[whole], text[whole]
+        for c, x in zip((texts, keys, firsts), (text, low[at], at + lo - offsets[text])):
+            c.append(x)
+    text, key, first = np.concatenate(texts), np.concatenate(keys), np.concatenate(firsts)
+    after = np.diff(offsets)[text] - LENGTH + 1  # a run ends where the next begins, or with the text's strings
+    after[:-1] = np.where(text[1:] == text[:-1], first[1:], after[:-1])
+    return text, key, first, after - first
 
 
 def _keys(buckets: int):
     """Texts to one row per bucket: the keys (upper half) of the texts, and whose they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        marks: list[int] = []
-        keys: list[np.ndarray] = []
-        held = 0
+        ids, marks, keys, texts = [], [], [], []
+        held = base = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not keys:
+            if not held:
                 return
-            k = np.concatenate(keys)
-            at = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(x) for x in keys])
-            to = (k % np.uint64(buckets)).astype(np.int32)
+            i, m, k, at = (np.concatenate(c) for c in (ids, marks, keys, texts))
+            to = (k % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int32)
             order = np.argsort(to, kind="stable")
             k, at, to = (k[order] >> np.uint64(32)).astype(np.uint32), at[order], to[order]
             edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-            i, m = np.array(ids, np.int64), np.array(marks, np.int64)
             for a, b in zip(edge, np.r_[edge[1:], len(k)]):
-                used, local = np.unique(at[a:b], return_inverse=True)
+                new = np.r_[True, at[a + 1 : b] != at[a : b - 1]]
+                used, local = at[a:b][new], np.cumsum(new) - 1
                 row = [i[used].tobytes(), m[used].tobytes(), k[a:b].tobytes(), local.astype(np.uint32).tobytes()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(to[a])], pa.int32()), *[pa.array([x], pa.binary()) for x in row]],
                     names=["bucket", "ids", "marks", "keys", "at"],
                 )
-            for x in (ids, marks, keys):
+            for x in (ids, marks, keys, texts):
                 x.clear()
 
         for b in batches:
             for lo in range(0, len(b), 500):
                 part = b.slice(lo, 500)
-                data, offsets = text_bytes(part.column(2))
-                for j, (doc, mark) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
-                    k = np.unique(key_runs(data[offsets[j] : offsets[j + 1]])[0])
-                    if len(k):
-                        ids.append(doc)
-                        marks.append(mark)
-                        keys.append(k)
-                        held += len(k)
+                text, key, _, _ = key_runs(*text_bytes(part.column(2)))
+                order = np.argsort(key)
+                order = order[np.argsort(text[order].astype(np.uint16), kind="stable")]
+                text, key = text[order], key[order]
+                new = np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])][: len(key)]
+                keys.append(key[new])
+                texts.append(text[new] + base)
+                ids.append(part.column(0).to_numpy().copy())  # a copy does not hold the batch
+                marks.append(part.column(1).to_numpy().copy())
+                base += len(part)
+                held += len(keys[-1])
                 if held > FLUSH:
                     yield from flush()
-                    held = 0
+                    held = base = 0
         yield from flush()
 
     return run
@@ -158,6 +170,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All of ``start[k]`` to ``start[k] + n[k]``, one after the other."""
+    return np.arange(int(n.sum())) + np.repeat(start - np.cumsum(n) + n, n)
+
+
+def _portions(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of consecutive items of about ``most`` in all, one item at least."""
+    piece = (np.cumsum(sizes) - sizes) // most
+    edge = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if len(sizes) else []
+    for a, b in zip(edge, [*edge[1:], len(sizes)]):
+        yield slice(int(a), int(b))
+
+
 def _segments(buckets: int):
     """Texts with their shared keys to one row per run of strings with such a key."""
 
@@ -166,114 +191,158 @@ def _segments(buckets: int):
             for lo in range(0, len(b), 200):
                 part = b.slice(lo, 200)
                 data, offsets = text_bytes(part.column("text"))
-                out: list[list] = [[], [], [], [], [], []]
-                lists = part.column("keys").to_pylist()
-                for j, (doc, mark) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("mark").to_pylist())):
-                    one = data[offsets[j] : offsets[j + 1]]
-                    key, start, n = key_runs(one)
-                    want = np.unique(np.frombuffer(b"".join(lists[j]), np.uint32))
-                    ok = np.isin((key >> np.uint64(32)).astype(np.uint32), want)
-                    raw = one.tobytes()
-                    for k, a, m in zip(key[ok].tolist(), start[ok].tolist(), n[ok].tolist()):
-                        for c, x in zip(out, (k % buckets, k, doc, mark, a, raw[a : a + m + LENGTH - 1])):
-                            c.append(x)
-                kinds = [pa.int32(), pa.uint64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                cols = [pa.array(c, t) for c, t in zip(out, kinds)]
-                cols[1] = cols[1].view(pa.int64())
-                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "key", "doc_id", "mark", "start", "bytes"])
+                text, key, start, n = key_runs(data, offsets)
+                lists = [b"".join(x) for x in part.column("keys").to_pylist()]
+                whose = np.repeat(np.arange(len(part), dtype=np.uint64) << np.uint64(32), [len(x) // 4 for x in lists])
+                want = np.unique(whose | np.frombuffer(b"".join(lists), np.uint32))
+                mine = text.astype(np.uint64) << np.uint64(32) | key >> np.uint64(32)
+                ok = want[np.minimum(np.searchsorted(want, mine), len(want) - 1)] == mine if len(want) else np.zeros(len(mine), bool)
+                text, key, start, size = text[ok], key[ok], start[ok], n[ok] + LENGTH - 1
+                ids, marks = part.column("doc_id").to_numpy(), part.column("mark").to_numpy()
+                for s in _portions(size, PORTION):
+                    raw = data[_ranges(offsets[text[s]] + start[s], size[s])]
+                    ends = np.r_[0, np.cumsum(size[s])].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array((key[s] % np.uint64(buckets)).astype(np.int32)),
+                            pa.array(key[s].view(np.int64)),
+                            pa.array(ids[text[s]]),
+                            pa.array(marks[text[s]]),
+                            pa.array(start[s].astype(np.int32)),
+                            pa.Array.from_buffers(pa.binary(), len(size[s]), [None, pa.py_buffer(ends), pa.py_buffer(raw)]),
+                        ],
+                        names=["bucket", "key", "doc_id", "mark", "start", "bytes"],
+                    )
 
     return run
 
 
-def repeated_in_shard(segments: list[bytes], docs: list[np.ndarray]) -> list[np.ndarray]:
-    """For each distinct segment, per string in it the smallest document that has the string anywhere in the shard.
+def repeated_in_shard(t: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each string of each segment, one after the other, the smallest owner of a segment that has the string.
 
-    One suffix array over all segments brings equal strings together: those
-    whose neighbours share ``LENGTH`` bytes.
+    ``t`` holds the segments end to end. One suffix array over all of them
+    brings equal strings together: those whose neighbours share ``LENGTH`` bytes.
     """
-    sizes = np.array([len(s) for s in segments])
-    t = np.frombuffer(b"\xff".join(segments) + b"\xff", np.uint8)
-    begin = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    seg = np.repeat(np.arange(len(segments)), sizes + 1)
-    inside = np.arange(len(t)) - begin[seg]
-    whole = inside + LENGTH <= sizes[seg]
-    order = suffix_array(t, LENGTH)
-    group = np.cumsum(permuted_common_prefixes(t, order, LENGTH)[order] < LENGTH)
-    ok = whole[order]
-    at, group = order[ok], group[ok]
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    owner = np.array([d.min() for d in docs], np.int64)[seg[at]]
+    strings = sizes - LENGTH + 1
+    at = _ranges(np.cumsum(sizes) - sizes, strings)
+    whole = np.zeros(len(t), bool)
+    whole[at] = True
+    order = suffix_array(t, LENGTH, whole)
+    first = np.flatnonzero(permuted_common_prefixes(t, order, LENGTH)[order] < LENGTH)
+    owners = np.zeros(len(t), np.int64)
+    owners[at] = np.repeat(owner, strings)
     least = np.empty(len(t), np.int64)
-    least[at] = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.r_[first, len(at)]))
-    return [least[a : a + n - LENGTH + 1] for a, n in zip(begin, sizes)]
+    least[order] = np.repeat(np.minimum.reduceat(owners[order], first), np.diff(np.r_[first, len(order)]))
+    return least[at]
+
+
+def _spans(distinct: pa.Array, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The spans of a shard's rows (segment, doc_id, mark, start) that an earlier document has."""
+    segment, ids, marks, starts = rows
+    t, offsets = text_bytes(distinct)
+    sizes = np.diff(offsets)
+    owner = np.full(len(sizes), np.iinfo(np.int64).max)
+    np.minimum.at(owner, segment, ids)
+    least = repeated_in_shard(t, sizes, owner)
+    strings = sizes - LENGTH + 1
+    begin = np.cumsum(strings) - strings
+    low, high = np.minimum.reduceat(least, begin), np.maximum.reduceat(least, begin)
+    whole = np.flatnonzero(high[segment] < ids)
+    some = np.flatnonzero((low[segment] < ids) & (high[segment] >= ids))
+    out = [(whole, np.zeros(len(whole), np.int64), sizes[segment[whole]])]
+    for s in _portions(strings[segment[some]], PORTION):
+        row = some[s]
+        n = strings[segment[row]]
+        hit = least[_ranges(begin[segment[row]], n)] < np.repeat(ids[row], n)
+        ends = np.cumsum(n)
+        new, end = hit.copy(), hit.copy()  # where a run of hits begins and ends; none goes on into the next row
+        cut = np.zeros(len(hit) + 1, bool)
+        cut[ends] = True
+        new[1:] &= ~hit[:-1] | cut[1:-1]
+        end[:-1] &= ~hit[1:] | cut[1:-1]
+        a, b = np.flatnonzero(new), np.flatnonzero(end)
+        of = np.searchsorted(ends, a, "right")
+        out.append((row[of], a - (ends - n)[of], b - (ends - n)[of] + LENGTH))
+    row, a, b = (np.concatenate(c) for c in zip(*out))
+    if len(row):
+        cols = (ids[row], marks[row], (starts[row] + a).astype(np.int32), (starts[row] + b).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "mark", "start", "end"])
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key to spans (doc_id, mark, start, end) that an earlier document has."""
-    held: dict[bytes, list[list[int]]] = {}
-    size, last = 0, None
-
-    def solve() -> Iterator[pa.RecordBatch]:
-        segments = list(held)
-        docs = [np.array(v[0], np.int64) for v in held.values()]
-        out: list[tuple] = []
-        for s, least, (ids, marks, starts) in zip(segments, repeated_in_shard(segments, docs), held.values()):
-            low, high, n = int(least.min()), int(least.max()), len(s)
-            for d, m, a in zip(ids, marks, starts):
-                if high < d:
-                    out.append((d, m, a, a + n))
-                elif low < d:
-                    hit = np.r_[False, least < d, False]
-                    edge = np.flatnonzero(hit[1:] != hit[:-1])
-                    out += [(d, m, a + int(x), a + int(y) + LENGTH - 1) for x, y in zip(edge[::2], edge[1::2])]
-        if out:
-            cols = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
-                names=["doc_id", "mark", "start", "end"],
-            )
+    distinct: list[pa.Array] = []
+    rows: list[list[np.ndarray]] = [[], [], [], []]
+    size = merged = count = 0
+    last = None
+
+    def merge() -> None:
+        """Equal segments of the parts become one."""
+        nonlocal size, merged, count
+        if len(distinct) > 1:
+            one = pa.concat_arrays(distinct).dictionary_encode()
+            distinct[:] = [one.dictionary]
+            rows[0][:] = [one.indices.to_numpy()[np.concatenate(rows[0])]]
+        merged = size = text_bytes(distinct[0])[1][-1]
+        count = len(distinct[0])
 
     for b in batches:
-        for row in zip(*[b.column(c).to_pylist() for c in ("key", "doc_id", "mark", "start", "bytes")]):
-            if row[0] != last and size > SHARD_BYTES:
-                yield from solve()
-                held.clear()
-                size = 0
-            last = row[0]
-            got = held.get(row[4])
-            if got is None:
-                got = held[row[4]] = [[], [], []]
-                size += len(row[4])
-            for c, x in zip(got, row[1:4]):
-                c.append(x)
-    if held:
-        yield from solve()
+        if not len(b):
+            continue
+        key, raw = b.column("key").to_numpy(), b.column("bytes")
+        sizes = np.diff(text_bytes(raw)[1])
+        # parts of whole keys; the first goes on with the last key, if that goes on
+        new = np.flatnonzero(np.r_[key[0] != last, key[1:] != key[:-1]])
+        piece = np.cumsum(sizes)[new] // SHARD_BYTES
+        edge = np.unique(np.r_[0, new[np.r_[True, piece[1:] != piece[:-1]][: len(new)]]])
+        for lo, hi in zip(edge, np.r_[edge[1:], len(key)]):
+            if key[lo] != last and size > SHARD_BYTES:
+                merge()
+                if size > SHARD_BYTES:
+                    yield from _spans(distinct[0], [np.concatenate(c) for c in rows])
+                    for c in (distinct, *rows):
+                        c.clear()
+                    size = merged = count = 0
+            part = raw.slice(lo, hi - lo).dictionary_encode()
+            for c, x in zip(rows, (part.indices, *(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "mark", "start")))):
+                c.append(x.to_numpy().astype(np.int64))  # a copy, which does not hold the batch
+            rows[0][-1] += count
+            distinct.append(part.dictionary)
+            count += len(part.dictionary)
+            size += int(text_bytes(part.dictionary)[1][-1])
+            last = key[hi - 1]
+            if size > 2 * merged + 4 * SHARD_BYTES:  # a key with many rows
+                merge()
+    if distinct:
+        merge()
+        yield from _spans(distinct[0], [np.concatenate(c) for c in rows])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts and their spans to what is removed and the digest of what is kept."""
     for b in batches:
-        for lo in range(0, len(b), 500):
-            part = b.slice(lo, 500)
+        for s in _portions(np.diff(text_bytes(b.column("text"))[1]), PORTION):
+            part = b.slice(s.start, s.stop - s.start)
             data, offsets = text_bytes(part.column("text"))
-            out = []
-            rows = zip(part.column("doc_id").to_pylist(), part.column("copied").to_pylist(), part.column("spans").to_pylist())
-            for j, (doc, copied, spans) in enumerate(rows):
-                one = data[offsets[j] : offsets[j + 1]]
-                n = len(one)
-                if copied and n >= LENGTH:
-                    out.append((doc, n, n, 1, hashlib.sha256(b"").hexdigest()))
-                    continue
-                gone = np.zeros(n + 1, np.int32)
-                for s in spans or []:
-                    gone[s["start"]] += 1
-                    gone[s["end"]] -= 1
-                gone = np.cumsum(gone[:n]) > 0
-                runs = int((gone[1:] & ~gone[:-1]).sum() + (n > 0 and gone[0]))
-                out.append((doc, n, int(gone.sum()), runs, hashlib.sha256(one[~gone].tobytes()).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            size = np.diff(offsets)
+            spans, copied = part.column("spans"), part.column("copied").to_numpy(zero_copy_only=False) & (size >= LENGTH)
+            each = spans.flatten()
+            at = np.repeat(offsets[:-1], spans.value_lengths().fill_null(0).to_numpy())
+            edges = np.zeros(len(data) + 1, np.int32)
+            np.add.at(edges, at + each.field("start").to_numpy(), 1)
+            np.add.at(edges, at + each.field("end").to_numpy(), -1)
+            np.add.at(edges, offsets[:-1][copied], 1)
+            np.add.at(edges, offsets[1:][copied], -1)
+            gone = np.cumsum(edges[:-1], dtype=np.int32) > 0
+            new = gone.copy()
+            new[1:] &= ~gone[:-1]
+            heads = offsets[:-1][size > 0]
+            new[heads] = gone[heads]
+            removed, runs = (np.diff(np.r_[0, np.cumsum(x)][offsets]) for x in (gone, new))
+            kept, ends = memoryview(data[~gone]), np.r_[0, np.cumsum(size - removed)]
+            digests = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)],
+                [part.column("doc_id"), *map(pa.array, (size, removed, runs, digests))],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 

@@ -5,56 +5,73 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
+def _ordered(first: np.ndarray, after: np.ndarray, i: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions ``i`` in the order of (first, after), and the pairs as numbers. All are ``n`` at most."""
+    bits = n.bit_length()
+    if 3 * bits > 63:
+        key = first * (n + 1) + after
+        by = np.argsort(key)
+        return i[by], key[by]
+    # all three in one number, which is sorted faster than looked up
+    key = first << bits
+    key |= after
+    key <<= bits
+    key |= i
+    key.sort()
+    return key & ((1 << bits) - 1), key >> bits
+
+
+def suffix_array(t: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Positions of a byte string in the order of their suffixes, as far as ``depth`` bytes tell them apart.
 
     Suffixes are sorted by their first seven bytes as one number; then those
-    still tied by the ranks of the suffixes 7, 14, 28 ... bytes on, until none
-    is tied or the depth is reached. A suffix that ends comes before those that
-    go on.
+    still tied by the ranks of the suffixes 7, 14, 28 ... bytes on (at last by
+    what is left of the depth), until none is tied or the depth is reached. A suffix that ends comes before those that
+    go on. ``wanted`` marks the suffixes to return, all by default; the others
+    are ranked as far as those need them.
     """
     n = len(t)
     if n < 2:
-        return np.arange(n)
-    padded, h = np.zeros(n + 7, np.uint64), 7
+        return np.arange(n) if wanted is None else np.flatnonzero(wanted)
+    padded, h = np.zeros(n + 8, np.uint8), 7
     padded[:n] = t
-    key = padded[:n].copy()
-    for k in range(1, h):
-        key <<= np.uint64(8)
-        key |= padded[k : n + k]
+    key = np.ndarray(n, ">u8", padded, strides=(1,)).astype(np.uint64)
     # last how many of the bytes are there, so that the end sorts below a zero byte
-    key <<= np.uint64(8)
-    key |= np.minimum(n - np.arange(n), h).astype(np.uint64)
+    key &= np.uint64(0xFFFFFFFFFFFFFF00)
+    key |= np.uint64(h)
+    key[-h:] += np.arange(min(n, h), 0, -1).astype(np.uint64) - np.uint64(h)
     order = np.argsort(key)
     key = key[order]
     new = np.r_[True, key[1:] != key[:-1]]
-    # the rank of a suffix is where those tied with it begin
+    # the rank of a suffix is where those tied with it begin, counted from 1; 0 is the end
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = first
+    rank = np.zeros(n + min(n, depth), np.int32 if n < 1 << 31 else np.int64)
+    rank[order] = first + 1
     while h < depth:
+        step = min(h, depth - h)
+        if wanted is not None and h + step == depth:  # nothing is ranked by this order any more
+            keep = wanted[order]
+            order, first = order[keep], first[keep]
+            new = np.r_[True, first[1:] != first[:-1]][: len(order)]
         at = np.flatnonzero(~new | ~np.r_[new[1:], True])
         if not len(at):
             break
         i = order[at]
-        after = np.where(i + h < n, rank[np.minimum(i + h, n - 1)] + 1, 0)
-        key = first[at] * (n + 1) + after
-        by = np.argsort(key)
-        order[at], key = i[by], key[by]
+        order[at], key = _ordered(first[at], rank[np.minimum(i + step, len(rank) - 1)], i, n)
+        h += step
+        if h == depth:
+            return order
         new[at] = np.r_[True, key[1:] != key[:-1]]
         first[at] = np.maximum.accumulate(np.where(new[at], at, 0))
-        rank[order[at]] = first[at]
-        h *= 2
-    return order
+        rank[order[at]] = first[at] + 1
+    return order if wanted is None or len(order) < n else order[wanted[order]]
 
 
 def permuted_common_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each position, how many bytes (``most`` at most) its suffix shares with the one before it in order."""
     n = len(t)
-    padded = np.concatenate([t, np.zeros(most + 16, np.uint8)]).astype(np.uint64)
-    word = np.zeros(n + most + 8, dtype=np.uint64)
-    for k in range(8):
-        word |= padded[k : k + len(word)] << np.uint64(8 * k)
+    padded = np.concatenate([t, np.zeros(most + 16, np.uint8)])
+    word = np.ndarray(n + most + 8, "<u8", padded, strides=(1,)).astype(np.uint64)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, dtype=np.int64)
