@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from millrace.llm import substrings
+from millrace.llm import substrings, suffix_array
 
 
 def steps(texts, ids, batch=40):
@@ -115,3 +115,22 @@ def test_segments_and_shards_cost_a_few_sorts():
     a, b = least(lambda: steps(texts, range(400), 10_000)), least(lambda: np.argsort(keys, kind="stable"))
     print(f"{a:.2f} s, a sort of as many numbers as there are bytes {b:.3f} s, ratio {a / b:.1f}")
     assert a < 16 * b
+
+
+def test_ties_are_sorted_alike_in_large_arrays():
+    """Beyond two million positions, first, after and position don't fit in one number."""
+    rng = np.random.default_rng(4)
+    first, after, i = np.sort(rng.integers(0, 30, 900)), rng.permutation(900).astype(np.int32), rng.permutation(900)
+    (a, x), (b, y) = (suffix_array._ordered(first, after, i, n) for n in (900, 1 << 21))
+    assert a.tolist() == b.tolist() == i[np.lexsort((after, first))].tolist()
+    assert (np.diff(x) > 0).all() and (np.diff(y) > 0).all()
+
+
+def test_wanted_suffixes_keep_their_order():
+    rng = np.random.default_rng(6)
+    for n, depth in ((1, 50), (5, 50), (300, 50), (3000, 50), (3000, 5), (300, 7), (300, 2000)):
+        t, wanted = rng.integers(0, 2, n).astype(np.uint8), rng.random(n) < 0.4
+        raw, got = t.tobytes(), suffix_array.suffix_array(t, depth, wanted).tolist()
+        depth = max(depth, 7)
+        assert sorted(got) == np.flatnonzero(wanted).tolist()
+        assert [raw[i : i + depth] for i in got] == sorted(raw[i : i + depth] for i in got)
