@@ -37,3 +37,27 @@ def test_batches(spark):
 def test_stars_join_groups_and_nulls_do_not(spark):
     rows = spark.createDataFrame([("a", "x", None), ("b", "x", None), ("c", "y", "n"), ("d", None, "n")], "sha string, g string, h string")
     assert {tuple(r) for r in graph.leak_edges(rows, "g", "h").collect()} == {("a", "b"), ("c", "d")}
+
+
+def test_steps_are_short_and_broadcast_nothing_by_its_files(spark, monkeypatch):
+    """Files of numbers say little about their rows, and what is broadcast is on the driver; so is every plan."""
+    plans = {}
+
+    def kept(df, name, stage=curation.staged):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().sparkPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(curation, "staged", kept)
+    monkeypatch.setattr(graph, "staged", kept)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in keys]
+    rows = [(i, f"{i:04x}", i % 2, f"o{i % 6}", f"o{i % 6}/{i // 12}", f"n{i % 7}" if i % 5 == 0 else None) for i in range(24)]
+    links = spark.createDataFrame(rows, "i int, sha string, taxon int, observer string, observation string, near string")
+    curation.assignment_batches(spark, links, [F.col("i") < 20, F.col("i") >= 20])
+    assert before == [spark.conf.get(k, None) for k in keys]
+    assert {"assign-rows", "assign-groups", "assign-members", "cc"} <= set(plans)
+    for name, of in plans.items():
+        for p in of:
+            joins = [line for line in p.split("\n") if "Join" in line]
+            assert name == "assign-nodes" or not [j for j in joins if "Broadcast" in j], name  # its broadcast is a row for each partition
+            assert len(joins) <= 4, name
